@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import OP5_SQL, op5_decontaminate
+from .langid import op3_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP7_SQL, op7_mix_sources
 from .simhash import op9_simhash
@@ -11,6 +12,7 @@ from .simhash import op9_simhash
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_language_id": op3_language_id,
         "op5_decontaminate": op5_decontaminate,
         "op7_mix_sources": op7_mix_sources,
         "op9_simhash": op9_simhash,
