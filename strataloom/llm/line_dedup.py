@@ -40,7 +40,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Shuffles: 40 bytes a window (twice), and the texts once by document. The first
     occurrence is a partial aggregate, so a window that everyone has is no hot partition there; the join
-    back is a sort-merge join that adaptive execution splits where it is skewed.
+    back is a sort-merge join that adaptive execution splits where it is skewed. The texts are joined to the covered
+    positions by hash, so they aren't sorted, and in the same way at every size.
     """
     w = shared_table(spark, windows(docs), "windows")
     here = F.struct("__id", "__th", "__pos")
@@ -51,7 +52,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     left = F.array_except(F.sequence(F.lit(0), F.col("__n_lines") - 1), cover)
     new = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     out = docs.withColumns({"__k": F.xxhash64("text"), "__n_lines": F.when(F.col("text").isNotNull(), F.size(lines))})
-    out = out.join(covered, (F.col("doc_id") == F.col("__id")) & (F.col("__k") == F.col("__th")), "left")
+    out = out.join(covered.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__k") == F.col("__th")), "left")
     hit = F.col("__at").isNotNull() & F.col("text").isNotNull()
     out = out.withColumn("__n_removed", F.when(hit, F.col("__n_lines") - F.size(left)).otherwise(0))
     return out.withColumn("text", F.when(hit, new).otherwise(F.col("text"))).select(*docs.columns, "__n_lines", "__n_removed")
