@@ -7,12 +7,14 @@ from .langid import op3_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import OP7_SQL, op7_mix_sources
 from .simhash import op9_simhash
+from .topk import OP4_SQL, op4_top_k
 
 
 def queries() -> dict:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_language_id": op3_language_id,
+        "op4_top_k": op4_top_k,
         "op5_decontaminate": op5_decontaminate,
         "op7_mix_sources": op7_mix_sources,
         "op9_simhash": op9_simhash,
@@ -20,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op5_decontaminate": OP5_SQL, "op7_mix_sources": OP7_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op4_top_k": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_mix_sources": OP7_SQL}
