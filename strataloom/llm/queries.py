@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontam import OP5_SQL, op5_decontaminate
 from .langid import op3_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .lm import op1_lm_score
 from .mixing import OP7_SQL, op7_mix_sources
 from .simhash import op9_simhash
 from .topk import OP4_SQL, op4_top_k
@@ -12,6 +13,7 @@ from .topk import OP4_SQL, op4_top_k
 
 def queries() -> dict:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_line_dedup": op2_line_dedup,
         "op3_language_id": op3_language_id,
         "op4_top_k": op4_top_k,
