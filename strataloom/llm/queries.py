@@ -7,6 +7,7 @@ from .langid import op3_language_id
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .lm import op1_lm_score
 from .mixing import OP7_SQL, op7_mix_sources
+from .pii import op10_pii
 from .simhash import op9_simhash
 from .substring import op8_substring_dedup
 from .topk import OP4_SQL, op4_top_k
@@ -22,6 +23,7 @@ def queries() -> dict:
         "op7_mix_sources": op7_mix_sources,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash": op9_simhash,
+        "op10_pii": op10_pii,
     }
 
 
