@@ -45,21 +45,19 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def _merge(best_d: np.ndarray, best_i: np.ndarray, rows: np.ndarray, cand: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
-    """Adds exact distances d of (rows[j], cand[j]) to the best lists; ties go to the least id."""
-    order = np.argsort(rows, kind="stable")
-    rows, cand, d = rows[order], cand[order], d[order]
-    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+def _merge(best_d: np.ndarray, best_i: np.ndarray, rows: np.ndarray, d: np.ndarray, ids: np.ndarray) -> None:
+    """Adds exact distances of (rows[j], ids[j]) to the best lists; ties go to the least id."""
+    if not len(rows):
+        return
     k = best_d.shape[1]
-    for s, e in zip(starts, np.append(starts[1:], len(rows))):
-        r = rows[s]
-        dist, who = np.concatenate([best_d[r], d[s:e]]), np.concatenate([best_i[r], ids[cand[s:e]]])
-        if len(dist) > 4 * k:
-            cut = np.partition(dist, k - 1)[k - 1]
-            few = dist <= cut
-            dist, who = dist[few], who[few]
-        top = np.lexsort((who, dist))[:k]
-        best_d[r], best_i[r] = dist[top], who[top]
+    some = np.unique(rows)
+    row = np.concatenate([np.repeat(some, k), rows])
+    dist, who = np.concatenate([best_d[some].ravel(), d]), np.concatenate([best_i[some].ravel(), ids])
+    order = np.lexsort((who, dist, row))
+    row, dist, who = row[order], dist[order], who[order]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    top = first[:, None] + np.arange(k)  # every list has k entries at least
+    best_d[some], best_i[some] = dist[top], who[top]
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,7 +71,7 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, boxes: tuple[np.ndarray, np.n
     no query's k-th distance reaches the next one.
     """
     n = len(q)
-    stats = [segment_stats(q, s) for s in LEVELS]
+    stats = [*[segment_stats(q, s) for s in LEVELS], q]  # at last segments of one component, as products of matrices
     bound = box_bound(*boxes, stats[0])
     best_d, best_i = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
     order = np.argsort(bound.min(0), kind="stable")
@@ -86,24 +84,45 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, boxes: tuple[np.ndarray, np.n
         if not len(rows):
             continue
         x, ids, levels = load(int(j))
-        for part in np.array_split(rows, max(1, len(rows) // 128)):
-            lim = best_d[part, -1] * (1 + SLACK) + SLACK
-            a, b = np.nonzero(_pairwise(stats[0][part], levels[0]) <= lim[:, None])
-            for level in range(1, len(LEVELS)):
-                if np.isinf(lim).any():  # lists that aren't full yet take the closest of the block first
-                    break
-                ok = _exact(stats[level][part[a]], levels[level][b]) <= lim[a]
-                a, b = a[ok], b[ok]
-            if np.isinf(lim).any():
-                a, b = np.nonzero(np.ones((len(part), len(x)), bool))
-            ok = q_ids[part[a]] != ids[b]
-            a, b = a[ok], b[ok]
-            d = np.concatenate([_exact(q[part[a[i : i + 65536]]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
-            ok = d <= best_d[part[a], -1]
-            _merge(best_d, best_i, part[a[ok]], b[ok], d[ok], ids)
+        for part in np.array_split(rows, -(-len(rows) // 256)):
+            _search_part(q, q_ids, stats, part, x, ids, [*levels, x], best_d, best_i)
     return best_d, best_i
 
 
+def _search_part(q, q_ids, stats, part, x, ids, levels, best_d, best_i) -> None:
+    """Compares the queries `part` with one block: by ever finer statistics, then by the vectors that are left."""
+    k = best_d.shape[1]
+    other = q_ids[part][:, None] != ids[None, :]
+
+    def exact(a: np.ndarray, b: np.ndarray) -> None:
+        step = 1 << 16
+        d = np.concatenate([_exact(q[part[a[i : i + step]]], x[b[i : i + step]]) for i in range(0, len(a), step)]) if len(a) else np.zeros(0)
+        ok = d <= best_d[part[a], -1]
+        _merge(best_d, best_i, part[a[ok]], d[ok], ids[b[ok]])
+
+    left = other
+    if np.isinf(best_d[part, -1]).any():  # lists that aren't full yet: first those that are likely the nearest
+        guess = np.where(other, _pairwise(stats[-1][part], levels[-1]), np.inf)
+        n = min(k, guess.shape[1])
+        b = np.argpartition(guess, n - 1, axis=1)[:, :n]
+        a = np.repeat(np.arange(len(part)), n)
+        ok = other[a, b.ravel()]
+        exact(a[ok], b.ravel()[ok])
+        left = other.copy()
+        left[a, b.ravel()] = False
+    limit = best_d[part, -1] * (1 + SLACK) + SLACK
+    for level in range(len(levels)):
+        share = np.count_nonzero(left) / max(1, left.size)
+        if share < 0.02:
+            a, b = np.nonzero(left)
+            ok = _exact(stats[level][part[a]], levels[level][b]) <= limit[a]
+            left = np.zeros_like(left)
+            left[a[ok], b[ok]] = True
+        else:
+            left = left & (_pairwise(stats[level][part], levels[level]) <= limit[:, None])
+    exact(*np.nonzero(left))
+
+
 def _pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances, a little low so that rounding never drops a neighbour."""
     d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
