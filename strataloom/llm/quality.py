@@ -158,7 +158,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     """Boosts the features in turn, one shallow tree each a round; then the pairs that the rest speaks for most."""
 
     def cuts(v: np.ndarray, bins: int) -> np.ndarray:
-        return np.unique(np.quantile(v, np.arange(1, bins) / bins)) if len(v) else np.zeros(0)
+        values = np.unique(v)
+        if len(values) < 2:
+            return np.zeros(0)
+        at = np.searchsorted(values, np.quantile(v, np.arange(1, bins) / bins), "right")
+        at = np.unique(at[at < len(values)])
+        return (values[at - 1] + values[at]) / 2  # between two values, so that a frequent one has a bin of its own
 
     edges, coarse = [cuts(c, BINS) for c in x.T], [cuts(c, COARSE) for c in x.T]
     rate = (y.sum() + 0.5) / (len(y) + 1)
