@@ -16,7 +16,7 @@ def normalize_bytes(c: str | Column) -> Column:
     """UTF-8 bytes of a document: a UTF-8 mark goes, UTF-16 of either order becomes UTF-8; bytes that aren't UTF-8 raise an error."""
     b = _c(c)
     head2, head3 = F.hex(F.substring(b, 1, 2)), F.hex(F.substring(b, 1, 3))
-    utf16 = lambda order: F.encode(F.decode(F.substring(b, F.lit(3), F.octet_length(b)), F.lit(order)), F.lit("UTF-8"))
+    utf16 = lambda order: F.encode(F.decode(F.substring(b, F.lit(3), F.octet_length(b)), order), "UTF-8")
     plain = F.when(head3 == "EFBBBF", F.substring(b, F.lit(4), F.octet_length(b))).otherwise(b)
     checked = F.when(F.is_valid_utf8(plain.cast("string")), plain).otherwise(F.raise_error(F.lit("a document is neither UTF-8 nor marked UTF-16")).cast("binary"))
     return F.when(head2 == "FFFE", utf16("UTF-16LE")).when(head2 == "FEFF", utf16("UTF-16BE")).otherwise(checked)
@@ -94,12 +94,12 @@ def is_ignored(path: str | Column, patterns: list[str]) -> Column:
 
 def token_estimate(c: str | Column) -> Column:
     """A quarter of the UTF-16 length, rounded down."""
-    return F.floor(F.octet_length(F.encode(_c(c), F.lit("UTF-16LE"))) / 8).cast("int")
+    return F.floor(F.octet_length(F.encode(_c(c), "UTF-16LE")) / 8).cast("int")
 
 
 def slice_bytes(content: str | Column, start: str | Column, end: str | Column) -> Column:
     """The text between two byte offsets of UTF-8 bytes."""
-    return F.decode(F.substring(_c(content), _c(start) + 1, _c(end) - _c(start)), F.lit("UTF-8"))
+    return F.decode(F.substring(_c(content), _c(start) + 1, _c(end) - _c(start)), "UTF-8")
 
 
 def containing_type(symbol_id: str | Column) -> Column:

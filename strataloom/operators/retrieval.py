@@ -36,7 +36,7 @@ def sources(turns: DataFrame) -> DataFrame:
 
 def symbol_view(decls: DataFrame, docs: DataFrame) -> DataFrame:
     """(symbol_id, view): the declarations' bytes in the order of path and place, each text once, joined by an empty line; null where there is none."""
-    text = slice_bytes(F.encode("content", F.lit("UTF-8")), "full_start", "full_end")
+    text = slice_bytes(F.encode("content", "UTF-8"), "full_start", "full_end")
     parts = decls.select("symbol_id", "path", "full_start", "full_end").join(docs.select("path", "content"), "path").select("symbol_id", "path", "full_start", text.alias("t")).filter("t <> ''")
     once = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("path", "full_start", "t"))), lambda x: x["t"]))
     return decls.select("symbol_id").distinct().join(parts.groupBy("symbol_id").agg(F.array_join(once, "\n\n").alias("view")), "symbol_id", "left")
@@ -47,7 +47,7 @@ def declaration_locations(decls: DataFrame, docs: DataFrame) -> DataFrame:
     j = decls.filter("full_start IS NOT NULL").select("symbol_id", "path", "full_start").join(docs, "path").filter(F.col("full_start") <= F.octet_length("content"))
     line = offset_to_line("line_starts", "full_start")
     begin = F.element_at("line_starts", line + 1)
-    col = F.octet_length(F.encode(slice_bytes(F.encode("content", F.lit("UTF-8")), begin, F.col("full_start")), F.lit("UTF-16LE"))) / 2
+    col = F.octet_length(F.encode(slice_bytes(F.encode("content", "UTF-8"), begin, F.col("full_start")), "UTF-16LE")) / 2
     return j.select("symbol_id", "path", line.alias("line"), col.cast("int").alias("column"))
 
 
@@ -58,7 +58,7 @@ def surrounding_lines(decls: DataFrame, docs: DataFrame, n: int = 1) -> DataFram
     size = F.octet_length("content")
     a = F.element_at("line_starts", F.greatest(first - n, F.lit(0)) + 1)
     b = F.when(last + n + 1 < F.size("line_starts"), F.get("line_starts", last + n + 1) - 1).otherwise(size)
-    return j.select("symbol_id", slice_bytes(F.encode("content", F.lit("UTF-8")), a, b).alias("text"))
+    return j.select("symbol_id", slice_bytes(F.encode("content", "UTF-8"), a, b).alias("text"))
 
 
 def navigate(decls: DataFrame, places: DataFrame, bin_bytes: int = 1 << 12) -> DataFrame:

@@ -58,9 +58,9 @@ def bm25(postings: DataFrame, lengths: DataFrame, query: str) -> DataFrame:
     for t in prefix:
         hit = F.when(hit.isNull() & F.col("term").startswith(t), t + "*").otherwise(hit)
     found = postings.withColumn("q", hit).filter("q IS NOT NULL").groupBy("key", "q").agg(F.sum("tf").alias("tf"))
-    whole = lengths.agg(F.count(F.lit(1)).alias("N"), F.avg("length").alias("avg_len"))
+    whole = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("avg_len"))
     n = found.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.greatest(F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    idf = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
     scored = found.join(F.broadcast(n), "q").join(lengths, "key").crossJoin(F.broadcast(whole)).groupBy("key").agg((-F.sum(part)).alias("rank"), F.count(F.lit(1)).alias("hits"))
     if not any_:

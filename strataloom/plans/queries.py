@@ -81,7 +81,7 @@ query("distinct_projects", "docs", "SELECT DISTINCT project FROM docs")(lambda t
 @query("scan_normalize_bytes", "docs", "SELECT path, sha256(content) AS h FROM docs")
 def _(t):
     c = F.col("content")
-    raw = F.when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(c, F.lit("UTF-16LE")))).when(F.col("doc_id") % 4 == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode(c, F.lit("UTF-16BE")))).when(F.col("doc_id") % 4 == 3, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(c, F.lit("UTF-8")))).otherwise(F.encode(c, F.lit("UTF-8")))
+    raw = F.when(F.col("doc_id") % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(c, "UTF-16LE"))).when(F.col("doc_id") % 4 == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode(c, "UTF-16BE"))).when(F.col("doc_id") % 4 == 3, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(c, "UTF-8"))).otherwise(F.encode(c, "UTF-8"))
     return t.docs.withColumn("raw", raw).select("path", F.sha2(fx.normalize_bytes("raw"), 256).alias("h"))
 
 
@@ -94,8 +94,8 @@ query("scan_generated_flag", "docs", "SELECT path, path LIKE '%.g.cs' AS generat
 query("generator_identity", "docs", "SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'tool ' || project WHEN doc_id % 3 = 1 THEN 'made by ' || project END AS generator FROM docs")(
     lambda t: t.docs.select("path", fx.generator_identity(F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('[GeneratedCode("tool '), "project", F.lit('", "1")]'))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("// <auto-generated> made by "), "project", F.lit("\n"))).otherwise(F.lit("")), F.regexp_replace("content", "[<\"]", ""))).alias("generator")))
 query("line_starts", "docs", """, l AS (SELECT path, content, unnest(string_split(content, chr(10))) AS line, unnest(range(0, len(string_split(content, chr(10))))) AS i FROM docs),
-s AS (SELECT path, content, i, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM l)
-SELECT path, string_agg(CAST(CAST(at AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS starts FROM s WHERE i = 0 OR at < strlen(content) GROUP BY path""")(
+s AS (SELECT path, content, i, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l)
+SELECT path, string_agg(CAST(CAST(pos AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS starts FROM s WHERE i = 0 OR pos < strlen(content) GROUP BY path""")(
     lambda t: t.docs.select("path", F.array_join(F.transform(fx.line_starts("content"), lambda x: x.cast("string")), ",").alias("starts")))
 query("content_hash", "docs", "SELECT path, sha256(content) AS content_hash, path || ':' || sha256(content) AS version_id, strlen(content) AS byte_count FROM docs")(lambda t: retrieval.document_versions(t.docs).withColumn("byte_count", F.col("byte_count").cast("bigint")))
 query("snapshot_id", "docs", "SELECT substr(sha256('ws' || chr(10) || 'sdk' || chr(10) || string_agg(path || ':' || sha256(content), chr(10) ORDER BY path || ':' || sha256(content))), 1, 32) AS snapshot_id FROM docs")(lambda t: aggregate.snapshot_identity(retrieval.document_versions(t.docs), ["ws", "sdk"]))
@@ -165,7 +165,7 @@ query("refresh_search_index", "docs", _post + " SELECT key, term, tf FROM p")(
 query("copy_search_index", "docs", _post + " SELECT key, term, tf, 'next' AS snapshot_id FROM p")(lambda t: search.copy_search_index(search.build_search_index(t.docs, "path", ["content"])[0], "next"))
 query("search_source", "docs", _post + _bm25("'license', 'version'", 2) + " ORDER BY rank, path LIMIT 20")(lambda t: search.search_source(t.docs, "license version"))
 query("search_bm25_any", "docs", _post + _bm25("'the', 'idiot'", 1))(lambda t: search.bm25(*search.build_search_index(t.docs, "path", ["content"]), "the OR idiot").select(F.col("key").alias("path"), F.round("rank", 6).alias("rank")))
-query("search_symbols", "symbols", "SELECT symbol_id, fqn, 0.0 AS rank FROM symbols WHERE contains(lower(fqn), 'crm.building') ORDER BY symbol_id LIMIT 20")(lambda t: search.search_symbols(t.symbols, "crm.BUILDING"))
+query("search_symbols", "symbols", "SELECT symbol_id, fqn, CAST(0 AS DOUBLE) AS rank FROM symbols WHERE contains(lower(fqn), 'crm.building') ORDER BY symbol_id LIMIT 20")(lambda t: search.search_symbols(t.symbols, "crm.BUILDING"))
 query("search_substring", "symbols", "SELECT symbol_id, fqn FROM symbols WHERE contains(lower(fqn), 'brand#1')")(lambda t: search.search_substring(t.symbols, "Brand#1"))
 query("keyset_page_substring", "symbols", "SELECT symbol_id, fqn FROM symbols WHERE contains(lower(fqn), 'inv') AND (fqn > 'inv.Brand#2' OR (fqn = 'inv.Brand#2' AND symbol_id > '')) ORDER BY fqn, symbol_id LIMIT 11")(
     lambda t: search.keyset_page(search.search_substring(t.symbols, "inv"), "fqn", "symbol_id", ("inv.Brand#2", ""), 10))

@@ -49,7 +49,7 @@ SELECT 'src' || CAST(user_id % 20 AS STRING) AS project, CASE WHEN event_id % 4
     "annotations": """
 SELECT doc_id AS seq, 'T:cust.' || CAST(doc_id AS STRING) || '|crm' AS symbol_id, CASE WHEN toxic = 1 THEN 'constraint' WHEN quality = 1 THEN 'note' ELSE 'invariant:review' END AS kind, 'q' || CAST(quality AS STRING) AS value, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'crm/' || CAST(doc_id % 50 AS STRING) || '.cs' END AS document_path FROM {labels}""",
     "timings": """
-SELECT 's' || CAST(user_id AS STRING) AS snapshot_id, event_type AS step, event_id AS seq, CAST(value * 1000 AS BIGINT) AS elapsed FROM {events}""",
+SELECT 's' || CAST(user_id AS STRING) AS snapshot_id, event_type AS step, event_id AS seq, CAST(floor(value * 1000) AS BIGINT) AS elapsed FROM {events}""",
     "turns": """
 SELECT conv_id, turn, role, text, 'conv/' || CAST(conv_id AS STRING) || '.cs' AS path, 'M:conv.' || CAST(conv_id AS STRING) || '.' || CAST(turn AS STRING) || '|chat' AS symbol_id FROM {conversations}""",
 }
