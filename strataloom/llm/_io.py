@@ -34,6 +34,14 @@ def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application has in the shared folder; call it when all results are written."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

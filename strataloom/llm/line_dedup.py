@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import shared_table
+from ._io import fresh, shared_table
 
 WINDOW = 3
 
@@ -48,14 +48,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = w.groupBy("__h1", "__h2").agg(F.min(here).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
     later = w.join(first, ["__h1", "__h2"]).filter(here != F.col("__first"))
     covered = shared_table(spark, later.groupBy("__id", "__th").agg(F.sort_array(F.collect_set("__pos")).alias("__at")), "covered")
-    lines, cover = F.split("text", "\n"), F.flatten(F.transform("__at", lambda p: F.array(*[p + F.lit(k) for k in range(WINDOW)])))
+    keep = [c for c in docs.columns if c.lower() not in {"__n_lines", "__n_removed"}]
+    docs = docs.select(*keep)
+    id_, th, at, key = (fresh(docs, x) for x in ("__id", "__th", "__at", "__key"))
+    lines, cover = F.split("text", "\n"), F.flatten(F.transform(at, lambda p: F.array(*[p + F.lit(k) for k in range(WINDOW)])))
     left = F.array_except(F.sequence(F.lit(0), F.col("__n_lines") - 1), cover)
     new = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    out = docs.withColumns({"__k": F.xxhash64("text"), "__n_lines": F.when(F.col("text").isNotNull(), F.size(lines))})
-    out = out.join(covered.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__k") == F.col("__th")), "left")
-    hit = F.col("__at").isNotNull() & F.col("text").isNotNull()
+    out = docs.withColumns({key: F.xxhash64("text"), "__n_lines": F.when(F.col("text").isNotNull(), F.size(lines))})
+    covered = covered.select(F.col("__id").alias(id_), F.col("__th").alias(th), F.col("__at").alias(at))
+    out = out.join(covered.hint("shuffle_hash"), (F.col("doc_id") == F.col(id_)) & (F.col(key) == F.col(th)), "left")
+    hit = F.col(at).isNotNull() & F.col("text").isNotNull()
     out = out.withColumn("__n_removed", F.when(hit, F.col("__n_lines") - F.size(left)).otherwise(0))
-    return out.withColumn("text", F.when(hit, new).otherwise(F.col("text"))).select(*docs.columns, "__n_lines", "__n_removed")
+    return out.withColumn("text", F.when(hit, new).otherwise(F.col("text"))).select(*keep, "__n_lines", "__n_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import shared_table
+from ._io import fresh, shared_table
 
 TOKEN = r"[^ \t\n\r]+"
 
@@ -44,15 +44,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, targets: dict[str, float]
     source, written to the shared folder; Spark broadcasts them only while their files
     are below spark.sql.autoBroadcastJoinThreshold, else it joins by shuffle.
     """
-    rates = shared_table(spark, source_rates(docs, targets, alpha, budget).select("__source", F.col("rate").alias("__rate")), "rates")
+    src, rate, n = (fresh(docs, x) for x in ("__source", "__rate", "__copies"))
+    rates = shared_table(spark, source_rates(docs.select("source", "text"), targets, alpha, budget).select(F.col("__source").alias(src), F.col("rate").alias(rate)), "rates")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    copies = (F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int")
+    copies = (F.floor(rate) + F.when(draw < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
     keep = [c for c in docs.columns if c.lower() != "copy"]
     return (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("__copies", copies)
-        .filter("__copies > 0")
-        .select(*keep, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+        docs.join(rates, F.col("source").eqNullSafe(F.col(src)))
+        .withColumn(n, copies)
+        .filter(F.col(n) > 0)
+        .select(*keep, F.explode(F.sequence(F.lit(1), F.col(n))).alias("copy"))
     )
 
 

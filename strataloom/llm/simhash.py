@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import shared_table
+from ._io import fresh, shared_table
 from ._text import U, Words, mix, slices
 
 BITS = 256
@@ -184,8 +184,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shards: int | None = N
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the documents that near_duplicates reports; rows it doesn't look at stay."""
-    gone = shared_table(spark, near_duplicates(spark, docs).select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = fresh(docs, "__gone")
+    gone = shared_table(spark, near_duplicates(spark, docs).select(F.col("doc_id").alias(name)), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,7 +160,7 @@ def _ordered(vectors: DataFrame, size: int) -> DataFrame:
 def top_k(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, block: int = BLOCK) -> DataFrame:
     """(vec_id, neighbor_id, rank, distance): for every vector the k nearest others by Euclidean distance, exactly.
 
-    Ties go to the least id. Rows with a null id, a null vector or a null or non-finite component are neither queries nor
+    Ties go to the least id. Rows with a null id, a null or empty vector or a null or non-finite component are neither queries nor
     neighbours. Vectors are compared with those of their own length. Repeated rows (same id and
     vector) count once; a vector isn't a neighbour of another one with its id. With fewer than k others the list is
     shorter. Empty table: empty. Other columns are not looked at.
@@ -173,7 +173,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id", vecto
     """
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     clean = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("__id"), x.alias("__x"))
-    clean = clean.filter(~F.exists("__x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).distinct()
+    clean = clean.filter((F.size("__x") > 0) & ~F.exists("__x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).distinct()
     folder = posix(f"{shared_dir(spark)}/vectors-{os.urandom(6).hex()}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
