@@ -28,7 +28,8 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
     new[0] = True
     t = tokens[sa]
     np.not_equal(t[1:], t[:-1], out=new[1:])
-    group = np.flatnonzero(new)
+    begins = new  # first places of the groups, ever more of them
+    group = np.flatnonzero(begins)
     rank = np.empty(n, np.int64)  # rank: first place of its group
     rank[sa] = np.repeat(group, np.diff(np.append(group, n)))
     step = 1
@@ -50,7 +51,8 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
         fresh[1:] = (head[1:] != head[:-1]) | (second[1:] != second[:-1])
         firsts = np.flatnonzero(fresh)
         rank[pos] = np.repeat(place[firsts], np.diff(np.append(firsts, len(pos))))
-        group = np.union1d(group, place[firsts])
+        begins[place[firsts]] = True
+        group = np.flatnonzero(begins)
         step *= 2
 
 
