@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._io import posix, shared_dir, shared_table
-from ._text import U, buffers, lower, slices
+from ._text import U, buffers, distinct, lower, slices
 
 ORDER = 6
 BLOCK = 1 << 22
@@ -285,7 +285,7 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
         n = int.from_bytes(f.read(8), "little")
         head = json.loads(f.read(n))
     base = -(-(8 + n) // 64) * 64
-    whole = np.memmap(path, np.uint8, "r")
+    whole = np.memmap(path, np.uint8, "r").view(np.ndarray)  # still mapped; without the subclass's cost for each slice
     return {name: whole[base + at : base + at + np.dtype(kind).itemsize * size].view(kind) for name, kind, size, at in head}
 
 
@@ -317,7 +317,7 @@ class Trie:
         """log10 probability of the last byte of each window (sorted and distinct) after the others."""
         grams = {self.order: keys}
         for k in range(self.order, 1, -1):
-            grams[k - 1] = np.unique(np.concatenate([grams[k] >> U(8), grams[k] & U(_mask(k - 1))]))
+            grams[k - 1] = distinct(np.concatenate([distinct(grams[k] >> U(8)), grams[k] & U(_mask(k - 1))]))
         known = np.array(sorted(self.files), np.int64)
         node = np.where(np.isin(grams[1].astype(np.int64), known), 0, -1)
         rel = np.searchsorted(known, grams[1].astype(np.int64))
