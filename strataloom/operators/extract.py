@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialise
+
 
 def _edges(df: DataFrame, src: str | Column, dst: str | Column, kind: str, provenance: str | Column = "compiler_proved") -> DataFrame:
     col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -85,14 +87,18 @@ def interface_dispatch(impls: DataFrame) -> DataFrame:
     return _edges(impls, "interface_member", "implementation", "MayDispatchTo", F.when(F.col("declared_on") == F.col("type"), "compiler_proved").otherwise("possible"))
 
 
-def virtual_dispatch(members: DataFrame, max_depth: int = 8) -> DataFrame:
-    """From the root of each override chain to each override of it."""
-    up = members.filter("overridden IS NOT NULL").select("member", "overridden").distinct()
-    at = up.select("member", F.col("overridden").alias("root"))
-    for _ in range(max_depth - 1):
-        step = up.select(F.col("member").alias("root"), F.col("overridden").alias("next"))
-        at = at.join(step, "root", "left").select("member", F.coalesce("next", "root").alias("root"))
-    return _edges(at, "root", "member", "MayDispatchTo", "possible")
+def virtual_dispatch(members: DataFrame) -> DataFrame:
+    """From the root of each override chain to each override of it.
+
+    Pointers are doubled until none moves: rounds grow with the logarithm of the longest chain.
+    """
+    at = materialise(members.filter("overridden IS NOT NULL").select("member", F.col("overridden").alias("root")).distinct())
+    while True:
+        step = at.select(F.col("member").alias("root"), F.col("root").alias("next"))
+        j = materialise(at.join(step, "root", "left").select("member", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        at = j.select("member", "root")
+        if j.filter("moved").isEmpty():
+            return _edges(at, "root", "member", "MayDispatchTo", "possible")
 
 
 def static_dispatch(invocations: DataFrame) -> DataFrame:

@@ -44,10 +44,14 @@ def query(name: str, needs: str = "", sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import extraction  # noqa: F401  (adds its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import extraction  # noqa: F401
+
     return dict(SQL)
 
 

@@ -50,6 +50,16 @@ SELECT 'src' || CAST(user_id % 20 AS STRING) AS project, CASE WHEN event_id % 4
 SELECT doc_id AS seq, 'T:cust.' || CAST(doc_id AS STRING) || '|crm' AS symbol_id, CASE WHEN toxic = 1 THEN 'constraint' WHEN quality = 1 THEN 'note' ELSE 'invariant:review' END AS kind, 'q' || CAST(quality AS STRING) AS value, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'crm/' || CAST(doc_id % 50 AS STRING) || '.cs' END AS document_path FROM {labels}""",
     "timings": """
 SELECT 's' || CAST(user_id AS STRING) AS snapshot_id, event_type AS step, event_id AS seq, CAST(floor(value * 1000) AS BIGINT) AS elapsed FROM {events}""",
+    "raw_type": """
+SELECT 'T:cust.' || CAST(c_custkey AS STRING) || '|crm' AS type, CASE WHEN c_custkey % 3 = 0 THEN 'T:System.Object' ELSE 'T:nation.' || CAST(c_nationkey AS STRING) || '|geo' END AS base, 'T:i.' || c_mktsegment || '|geo' AS interface1, 'T:i.' || CAST(c_nationkey % 5 AS STRING) || '|geo' AS interface2, 'a' || CAST(c_custkey % 4 AS STRING) AS assembly, c_acctbal < 0 AS is_abstract FROM {customer}""",
+    "raw_member": """
+SELECT 'T:cust.' || CAST(o_custkey AS STRING) || '|crm' AS type, 'M:order.' || CAST(o_orderkey AS STRING) || '|sales' AS member, o_orderpriority AS name, o_orderstatus AS params, o_orderkey % 10 = 0 AS is_nested, o_orderkey % 7 = 0 AS is_implicit,
+CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 40 <> 0 THEN 'M:order.' || CAST(o_orderkey - 5 AS STRING) || '|sales' END AS overridden, CASE WHEN o_orderkey % 4 = 0 THEN 'void' ELSE 'T:part.' || CAST(o_orderkey % 100 AS STRING) || '|inv' END AS return_type,
+'T:nation.' || CAST(o_custkey % 25 AS STRING) || '|geo' AS member_type, CASE o_orderstatus WHEN 'F' THEN 'Public' WHEN 'O' THEN 'Internal' ELSE 'Private' END AS accessibility, 'T:p.' || o_orderpriority || '|geo' AS parameter1, 'T:p.' || o_orderstatus || '|geo' AS parameter2 FROM {orders}""",
+    "raw_invocation": """
+SELECT 'M:order.' || CAST(l_orderkey AS STRING) || '|sales' AS caller, 'T:part.' || CAST(l_partkey AS STRING) || '|inv' AS callee, 'T:supp.' || CAST(l_suppkey AS STRING) || '|inv' AS receiver, l_linenumber = 7 AS is_lambda, l_linenumber = 2 AS is_static, l_linenumber = 3 AS is_reduced, l_returnflag = 'R' AS callee_is_virtual, l_returnflag = 'A' AS is_write FROM {lineitem}""",
+    "raw_site": """
+SELECT 'M:user.' || CAST(user_id AS STRING) || '|web' AS caller, 'T:ev.' || CAST(event_id % 50 AS STRING) || '|web' AS target, event_type AS form, CAST(event_id % 1000 AS STRING) || CASE WHEN event_id % 2 = 0 THEN '' ELSE 'x' END AS literal, event_id, user_id FROM {events}""",
     "turns": """
 SELECT conv_id, turn, role, text, 'conv/' || CAST(conv_id AS STRING) || '.cs' AS path, 'M:conv.' || CAST(conv_id AS STRING) || '.' || CAST(turn AS STRING) || '|chat' AS symbol_id FROM {conversations}""",
 }
