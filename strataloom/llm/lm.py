@@ -20,7 +20,7 @@ from ._io import posix, shared_dir, shared_table
 from ._text import U, buffers, distinct, lower, slices
 
 ORDER = 6
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 CODES = 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _POP = _BITS.sum(1).astype(np.uint8)
@@ -112,6 +112,8 @@ class EliasFano:
         return out
 
 
+_LOW = np.array([(1 << (8 * (k + 1))) - 1 for k in range(8)], object).astype(U)  # keeps k + 1 bytes
+
 # --- counting ---------------------------------------------------------------------------------------------------
 
 
@@ -123,14 +125,21 @@ def _folded(data: np.ndarray) -> np.ndarray:
 def windows(data: np.ndarray, offsets: np.ndarray, order: int = ORDER, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
     """(first byte, the window of `order` bytes that ends in each byte of a block); bytes before a text are 0."""
     data = _folded(data)
-    start = np.repeat(offsets[:-1], np.diff(offsets))
+    starts = distinct(offsets[offsets < len(data)])
     for a in range(0, len(data), block):
         b = min(len(data), a + block)
-        key = np.zeros(b - a, U)
-        i = np.arange(a, b)
-        for back in range(order - 1, -1, -1):
-            j = i - back
-            key = (key << U(8)) | np.where(j >= start[a:b], data[np.maximum(j, 0)], 0).astype(U)
+        lo = max(0, a - order + 1)
+        part = data[lo:b].astype(U)
+        key = part.copy()
+        for back in range(1, order):
+            key[back:] |= part[:-back] << U(8 * back)
+        key = key[a - lo :]
+        near = starts[(starts > a - order) & (starts < b)]
+        for k in range(order - 1):  # bytes before a text's first one are 0
+            i = near + k
+            i = i[(i >= a) & (i < b)]
+            own = starts[np.searchsorted(starts, i, "right") - 1]
+            key[i - a] &= _LOW[np.minimum(i - own, order - 1)]
         yield a, key
 
 
