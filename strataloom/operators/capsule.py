@@ -169,9 +169,9 @@ def budget_enforce(capsule: dict, budget: int, order: list[str], item_chars: int
             c["tiers"][name] = []
             record(name)
     if not fits() and c.get("anchor", {}).get("source"):
-        room = max(0, 4 * budget - 4 * artifact_estimate(c | {"anchor": c["anchor"] | {"source": ""}}))
-        c["anchor"]["source"] = c["anchor"]["source"][:room]
         record("anchorSource")
+        room = max(0, 4 * (budget - artifact_estimate(c | {"anchor": c["anchor"] | {"source": ""}})) - 8)
+        c["anchor"]["source"] = c["anchor"]["source"][:room]
     return c
 
 

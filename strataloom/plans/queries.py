@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import aggregate, capsule, change, extract, graph, retrieval, search
+from ..operators import adapters, aggregate, capsule, change, extract, graph, retrieval, search
+from ..sources import sinks
 from ..sources.project import ctes, project, table
+from ..streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -324,3 +326,8 @@ query("suggested_verification", "edges", f"SELECT DISTINCT 'test ' || dst AS com
 query("constraint_annotations", "annotations", "SELECT symbol_id, kind, value FROM annotations WHERE kind LIKE '%constraint%' OR kind LIKE '%invariant%'")(lambda t: t.annotations.filter("kind LIKE '%constraint%' OR kind LIKE '%invariant%'").select("symbol_id", "kind", "value"))
 
 query("keyset_page_fts", "docs")(lambda t: search.keyset_page(search.bm25(*search.build_search_index(t.docs, "path", ["content"]), "the").withColumn("rank", F.round("rank", 6)), "rank", "key", (-0.5, ""), 10))
+query("extractor_registry", "")(lambda t: adapters.extractor_registry(t.spark))
+query("declared_boundaries", "")(lambda t: adapters.declared_boundaries(t.spark))
+query("change_feed_windows", "", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda t: feed.counts_by_window(t.events))
+query("sink_json", "symbols", """SELECT '{"symbol_id":"' || symbol_id || '"}' AS value FROM symbols""")(lambda t: sinks.to_json(t.symbols.select("symbol_id")))
+query("sink_summary", "symbols", "SELECT kind, count(*) AS n FROM symbols GROUP BY kind")(lambda t: sinks.summary(t.symbols, "kind"))
