@@ -59,23 +59,35 @@ def trace_impact(edges: DataFrame, seeds: list[str], downstream: bool = True, ki
     where no edge of the kinds leads to a node that isn't on the path. A seed without such edges has no path; loops
     are not followed; parallel edges of different kinds make different paths.
 
-    A left join for each step: paths that ended keep their row, so nothing is evaluated twice.
+    Each step keeps of the edges those that start at the frontier (a semi-join, which Catalyst pushes below the deduplication of
+    the edges; a small frontier is broadcast by its known size) and writes the new frontier to the shared folder. Paths that
+    ended are set aside, so nothing is evaluated twice.
     """
     here, there = ("src", "dst") if downstream else ("dst", "src")
-    step = by_kind(edges, kinds).select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("kind").alias("k"), F.col("provenance").alias("pv"))
-    spark = edges.sparkSession
-    p = spark.createDataFrame([(s,) for s in seeds], "seed string").select(
-        "seed", F.col("seed").alias("cur"), F.array("seed").alias("visited"), F.lit("").alias("chain"), F.lit(0).alias("steps"), F.lit(False).alias("ended"),
-        F.lit(None).cast("string").alias("first_kind"), F.lit(None).cast("string").alias("first_node"), F.lit(None).cast("string").alias("first_provenance"))
+    step = by_kind(edges, kinds)
+    columns = ["seed", "cur", "visited", "chain", "steps", "first_kind", "first_node", "first_provenance"]
+    none = F.lit(None).cast("string")
+    front = edges.sparkSession.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "seed string").select("seed", F.col("seed").alias("cur"), F.array("seed").alias("visited"), F.lit("").alias("chain"), F.lit(0).alias("steps"), none.alias("first_kind"), none.alias("first_node"), none.alias("first_provenance"))
+    done = []
     for depth in range(max_depth):
-        j = p.join(step, (~F.col("ended")) & (F.col("cur") == F.col("at")) & ~F.array_contains("visited", F.col("next")), "left")
+        at = front.select(F.col("cur").alias("at")).distinct()
+        near = step.join(at, F.col(here) == F.col("at"), "left_semi").select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("kind").alias("k"), F.col("provenance").alias("pv"))
+        j = front.join(near, (F.col("cur") == F.col("at")) & ~F.array_contains("visited", F.col("next")), "left")
         go = F.col("next").isNotNull()
-        first = {c: F.col(x) if depth == 0 else F.col(c) for c, x in (("first_kind", "k"), ("first_node", "next"), ("first_provenance", "pv"))}
-        p = j.select(
-            "seed", F.when(go, F.col("next")).otherwise(F.col("cur")).alias("cur"), F.when(go, F.array_append("visited", F.col("next"))).otherwise(F.col("visited")).alias("visited"),
+        first = {c: F.when(go, F.col(x)) if depth == 0 else F.col(c) for c, x in (("first_kind", "k"), ("first_node", "next"), ("first_provenance", "pv"))}
+        p = materialise(j.select(
+            "seed", F.coalesce("next", "cur").alias("cur"), F.when(go, F.array_append("visited", F.col("next"))).otherwise(F.col("visited")).alias("visited"),
             F.when(go, F.concat("chain", F.lit(">"), "k", F.lit(":"), "next")).otherwise(F.col("chain")).alias("chain"),
-            F.when(go, F.col("steps") + 1).otherwise(F.col("steps")).alias("steps"), (~go).alias("ended"), *[v.alias(c) for c, v in first.items()])
-    return p.filter("steps > 0").select("seed", "chain", "steps", (F.col("steps") == max_depth).alias("truncated"), "first_kind", "first_node", "first_provenance")
+            F.when(go, F.col("steps") + 1).otherwise(F.col("steps")).alias("steps"), *[v.alias(c) for c, v in first.items()], go.alias("go")))
+        done.append(p.filter("NOT go AND steps > 0").select(*columns, F.lit(False).alias("truncated")))
+        front = p.filter("go").select(*columns)
+        if front.isEmpty():
+            break
+    done.append(front.filter("steps > 0").select(*columns, F.lit(True).alias("truncated")))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("seed", "chain", "steps", "truncated", "first_kind", "first_node", "first_provenance")
 
 
 def impact_groups(paths: DataFrame) -> DataFrame:
@@ -98,7 +110,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, downstream: bool = True, max_d
     the shared folder; it ends with an empty frontier.
     """
     here, there = ("src", "dst") if downstream else ("dst", "src")
-    step = materialise(edges.select(F.col(here).alias("node"), F.col(there).alias("next")).filter("node <> next").distinct())
+    step = materialise(edges.select(F.col(here).alias("node"), F.col(there).alias("next")).filter("node <> next"))
     known = materialise(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front, depth = known, 0
     while max_depth is None or depth < max_depth:

@@ -206,7 +206,7 @@ def _reach(select: str, seed: str, here: str, there: str, depth: int, kinds: str
 
 
 _seed = lambda t, s: t.spark.createDataFrame([(s,)], "node string")
-query("reachable", "edges", _reach("SELECT node, depth FROM r", CUST, "src", "dst", 4))(lambda t: graph.reachable(t.edges, _seed(t, CUST), max_depth=4))
+query("reachable", "edges", _reach("SELECT node, depth FROM r", CUST, "src", "dst", 4))(lambda t: graph.reachable(t.raw_edges, _seed(t, CUST), max_depth=4))
 query("with_declared_members", "raw_edges symbols", "SELECT symbol_id, symbol_id AS member FROM symbols UNION ALL SELECT DISTINCT src, dst FROM raw_edges WHERE kind = 'Declares'")(lambda t: graph.with_declared_members(graph.by_kind(t.edges, ["Declares"]), t.symbols))
 _CLOSURE = ", up AS (SELECT DISTINCT src, dst FROM raw_edges WHERE kind IN ('Implements', 'Inherits')), cl AS (SELECT src, dst FROM up UNION SELECT a.src, b.dst FROM up a JOIN up b ON a.dst = b.src UNION SELECT symbol_id, symbol_id FROM symbols)"
 query("is_assignable", "raw_edges symbols", _CLOSURE + " SELECT src, dst FROM cl")(lambda t: graph.is_assignable(t.raw_edges, t.symbols))
@@ -270,7 +270,7 @@ query("match_transitions", "symbols", ", x AS (SELECT symbol_id, kind, assembly,
 _mem = lambda s, a="": f"(dst = '{s}' OR dst IN (SELECT dst FROM edges WHERE kind = 'Declares' AND src = '{s}'))"
 query("simulate_rename", "edges", f"SELECT DISTINCT src AS affected, kind, doc, line FROM edges WHERE kind IN {ALIVE} AND {_mem(SUPP)}")(lambda t: change.simulate_rename(t.edges, SUPP))
 query("simulate_move", "edges", f"SELECT DISTINCT src AS affected, kind, doc, line FROM edges WHERE kind IN {ALIVE} AND {_mem(NATION)}")(lambda t: change.simulate_move(t.edges, NATION))
-query("simulate_remove", "edges", _reach(f"SELECT node AS affected, depth FROM r WHERE depth > 0 AND node NOT IN (SELECT dst FROM edges WHERE kind IN ('Registers', 'TestedBy', 'Implements') AND src = '{NATION}')", NATION, "dst", "src", 3))(lambda t: change.simulate_remove(t.edges, NATION, 3))
+query("simulate_remove", "edges", _reach(f"SELECT node AS affected, depth FROM r WHERE depth > 0 AND node NOT IN (SELECT dst FROM edges WHERE kind IN ('Registers', 'TestedBy', 'Implements') AND src = '{NATION}')", NATION, "dst", "src", 3))(lambda t: change.simulate_remove(t.raw_edges, NATION, 3))
 _USED = f"used AS (SELECT DISTINCT dst AS s FROM raw_edges WHERE kind IN {ALIVE})"
 query("audit_dead", "raw_edges symbols", f", {_USED} SELECT symbol_id FROM symbols WHERE symbol_id NOT IN (SELECT s FROM used) AND symbol_id NOT IN (SELECT src FROM raw_edges WHERE kind = 'Declares' AND src LIKE 'T:%' AND dst IN (SELECT s FROM used))")(lambda t: change.audit_dead(t.raw_edges, t.symbols))
 query("audit_untested", "raw_edges symbols", "SELECT symbol_id FROM symbols WHERE accessibility IN ('Public', 'Internal') AND symbol_id NOT IN (SELECT src FROM raw_edges WHERE kind = 'TestedBy') AND symbol_id NOT IN (SELECT dst FROM raw_edges WHERE kind = 'Declares' AND src IN (SELECT src FROM raw_edges WHERE kind = 'TestedBy'))")(lambda t: change.audit_untested(t.raw_edges, t.symbols))
