@@ -17,6 +17,8 @@ TABLES = 24
 SAMPLED = 12
 DISTANCE = 48
 BUCKET = 1024
+#: A bucket of more rows is split by additional bits before its rows are brought together, into parts of about a quarter of this.
+SPLIT = 64 * BUCKET
 
 
 def signatures(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -58,14 +60,41 @@ def sampled(bits: int = BITS) -> np.ndarray:
     return np.stack([rng.permutation(bits) for _ in range(TABLES)])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    orders = sampled()[:, :SAMPLED]
+def _bits(batch: pa.RecordBatch) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1)
+
+
+def _value(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
+    return bits[:, order].astype(np.int64) @ (1 << np.arange(len(order), dtype=np.int64))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each bucket in the batches."""
+    orders, total = sampled()[:, :SAMPLED], np.zeros(TABLES << SAMPLED, np.int64)
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-        bits = np.unpackbits(sig, axis=1)
+        bits = _bits(batch)
         for t, order in enumerate(orders):
-            key = bits[:, order].astype(np.int64) @ (1 << np.arange(SAMPLED, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key + (t << SAMPLED)), batch.column("id"), batch.column("sig")], ["key", "id", "sig"])
+            total += np.bincount(_value(bits, order) + (t << SAMPLED), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
+
+
+def _keys(more: dict[int, int]):
+    """more: for each bucket that is split beforehand the number of additional bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders, large = sampled(), np.array(sorted(more), np.int64)
+        for batch in batches:
+            bits = _bits(batch)
+            for t, order in enumerate(orders):
+                key = _value(bits, order[:SAMPLED]) + (t << SAMPLED)
+                part = np.zeros(len(key), np.int64)
+                for k in np.intersect1d(key, large):
+                    at = np.flatnonzero(key == k)
+                    part[at] = _value(bits[at], order[SAMPLED : SAMPLED + more[int(k)]])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), batch.column("id"), batch.column("sig")], ["key", "part", "id", "sig"])
+
+    return run
 
 
 def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,12 +153,13 @@ def near(sig: np.ndarray, ids: np.ndarray, key: np.ndarray, table: int, distance
 
 def _bucket_edges(table: pa.Table) -> pa.Table:
     key = table.column("key").to_numpy()
+    part = table.column("part").to_numpy()
     ids = table.column("id").to_numpy()
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, BITS // 8)
     out_a, out_b = [], []
     for t in np.unique(key >> SAMPLED):
         at = key >> SAMPLED == t
-        a, b = near(sig[at], ids[at], key[at], int(t))
+        a, b = near(sig[at], ids[at], mix(key[at].astype(U) + mix(part[at].astype(U), 5), 6), int(t))
         out_a.append(a)
         out_b.append(b)
     return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
@@ -164,7 +194,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shards: int | None = N
     tables; groups are the connected components. Documents of equal signature are linked through the
     least of them and only that one enters the tables. Within a bucket all pairs are compared, and one star for each
     group leaves it, so copies in thousands make no more rows than there are copies. A bucket
-    of over BUCKET rows is split by two more bits at a time; what that parts, other tables join.
+    of over BUCKET rows is split by two more bits at a time; what that parts, other tables join. Buckets of over SPLIT rows are split
+    so before their rows are brought together, so that no task holds more; their sizes, at most TABLES x 2**SAMPLED rows, are
+    counted first and reach the driver.
 
     Documents with a null id, a null text or no word are never reported. Repeated rows and
     rows of the same doc_id are one document; where their texts differ each of them links it. Empty table: empty.
@@ -177,7 +209,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shards: int | None = N
     firsts = shared_table(spark, sig.groupBy("sig").agg(F.min("id").alias("id")), "firsts")
     equal = sig.join(firsts.select("sig", F.col("id").alias("b")), "sig").filter("id <> b").select(F.col("id").alias("a"), "b")
     n = shards or max(TABLES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = firsts.mapInArrow(_keys, "key bigint, id bigint, sig binary").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n)))
+    sizes = firsts.mapInArrow(_sizes, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > SPLIT)
+    more = {r.key: min(40, 2 * (max(1, 4 * r.n // SPLIT).bit_length() // 2)) for r in sizes.collect()}
+    keyed = firsts.mapInArrow(_keys(more), "key bigint, part bigint, id bigint, sig binary").withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(n)))
     near_ = keyed.groupBy("shard").applyInArrow(lambda t: _bucket_edges(t), "a bigint, b bigint")
     return components(spark, equal.union(near_)).select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 

@@ -102,6 +102,16 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(spark, frame(spark, [])).collect() == []
 
 
+def test_large_buckets_are_split_beforehand(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, " ".join(words(rng, 60)), None, "s") for i in range(200)]
+    rows += [(1000 + i, rows[i][1].replace("a", "a", 1) + " tail", None, "s") for i in range(200)]
+    want = {(r.doc_id, r.kept_doc_id) for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
+    monkeypatch.setattr(simhash, "SPLIT", 1)
+    got = {(r.doc_id, r.kept_doc_id) for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
+    assert {(1000 + i, i) for i in range(200)} <= want and len(got & want) >= 0.95 * len(want) and got <= want
+
+
 def test_oversized_buckets_are_split():
     rng = np.random.default_rng(3)
     sig = rng.integers(0, 256, (600, simhash.BITS // 8)).astype(np.uint8)
