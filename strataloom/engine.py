@@ -25,15 +25,18 @@ class Engine:
         """Edges are deduplicated and those without both ends dropped; then all is published and old snapshots go."""
         known = symbols.select("symbol_id") if nodes is None else symbols.select("symbol_id").union(nodes.select("symbol_id")).distinct()
         kept, dropped = graph.split_orphans(graph.edge_dedup(raw_edges), known)
-        m = self.store.publish(snapshot_id, self.workspace, {"symbols": symbols, "edges": kept, **facts}, dropped={r.dropped: r.edges for r in graph.orphan_summary(dropped).collect()})
+        m = self.store.publish(snapshot_id, self.workspace, {"symbols": symbols, "raw_edges": raw_edges, "edges": kept, **facts}, dropped={r.dropped: r.edges for r in graph.orphan_summary(dropped).collect()})
         self.store.prune(keep)
         return m
 
     def refresh(self, snapshot_id: str, symbols: DataFrame, scope: DataFrame, raw_edges: DataFrame, **facts: DataFrame) -> dict:
-        """As a build of all, from the former snapshot and what was extracted anew for the documents in scope (doc)."""
-        edges = change.refresh_edges(self.table("edges"), scope, graph.edge_dedup(raw_edges))
-        kept, _ = graph.split_orphans(edges, symbols.select("symbol_id"))
-        return self.store.publish(snapshot_id, self.workspace, {"symbols": symbols, "edges": kept, **facts})
+        """As a build of all, from the former snapshot and what was extracted anew for the documents in scope (doc).
+
+        The edges before deduplication are kept with the snapshot, so an edge whose best evidence goes falls back on the next best.
+        """
+        raw = change.refresh_edges(self.table("raw_edges"), scope, raw_edges)
+        kept, _ = graph.split_orphans(graph.edge_dedup(raw), symbols.select("symbol_id"))
+        return self.store.publish(snapshot_id, self.workspace, {"symbols": symbols, "raw_edges": raw, "edges": kept, **facts})
 
     def impact(self, symbol: str, downstream: bool = True, kinds: list[str] | None = None, max_depth: int = 3, max_paths: int = 50, cursor: str | None = None) -> dict:
         """Groups of all paths, one page of them, how many are left and where the next page begins."""

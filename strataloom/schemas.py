@@ -9,6 +9,7 @@ TABLES = {
     "symbols": "symbol_id string, doc_comment_id string, assembly string, kind string, fqn string, accessibility string, is_abstract boolean, type_kind string",
     "declarations": "symbol_id string, path string, full_start int, full_end int, is_partial boolean, is_generated boolean, generator_identity string",
     "edges": "src string, dst string, kind string, provenance string, doc string, line int, cross_generated boolean, type_args string",
+    "raw_edges": "src string, dst string, kind string, provenance string, doc string, line int, cross_generated boolean, type_arg string",
     "annotations": "seq bigint, symbol_id string, kind string, value string, document_path string",
     "diagnostics": "seq bigint, project string, severity string, id string, line int, message string",
     "incompleteness": "project string, document_path string, reason string, occurrences bigint",
