@@ -20,7 +20,9 @@ from ._io import posix, shared_dir, shared_table
 from ._text import U, buffers, distinct, lower, slices
 
 ORDER = 6
-BLOCK = 1 << 21
+BLOCK = 1 << 20
+#: Windows that a task remembers the value of, at most; beyond that it begins anew.
+REMEMBERED = 1 << 21
 CODES = 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _POP = _BITS.sum(1).astype(np.uint8)
@@ -90,25 +92,27 @@ class EliasFano:
         return ((place - i).astype(U) << U(self.width)) | self._low(i)
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where it isn't there: the successor within the run of its high bits."""
+        """Index of each value below the universe, -1 where it isn't there: a binary search for the successor within the run of its high bits."""
         bucket = (value >> U(self.width)).astype(np.int64)
-        z = np.maximum(bucket - 1, 0)
+        z = np.concatenate([np.maximum(bucket - 1, 0), bucket])  # the zeros that end the run before and the run itself
         word = np.searchsorted(self.zeros, z, "right") - 1
         place = word * 64 + _in_word(~self.high[word], z - self.zeros[word])
-        at = np.where(bucket > 0, place + 1, 0)  # the bit where the run begins
-        i = at - bucket
+        n = len(value)
+        lo = np.where(bucket > 0, place[:n] + 1, 0) - bucket
+        end = place[n:] - bucket
+        hi = end.copy()
         want = value & U((1 << self.width) - 1)
-        out = np.full(len(value), -1, np.int64)
-        act = np.flatnonzero(bucket * 1 < len(self.high) * 64)
+        act = np.flatnonzero(lo < hi)
         while len(act):
-            bit = (self.high[at[act] >> 6] >> (at[act] & 63).astype(U)) & U(1)
-            act = act[bit == 1]
-            got = self._low(i[act])
-            hit = got == want[act]
-            out[act[hit]] = i[act[hit]]
-            act = act[got < want[act]]
-            at[act] += 1
-            i[act] += 1
+            mid = (lo[act] + hi[act]) >> 1
+            less = self._low(mid) < want[act]
+            lo[act] = np.where(less, mid + 1, lo[act])
+            hi[act] = np.where(less, hi[act], mid)
+            act = act[lo[act] < hi[act]]
+        out = np.full(n, -1, np.int64)
+        at = np.flatnonzero(lo < end)
+        at = at[self._low(lo[at]) == want[at]]
+        out[at] = lo[at]
         return out
 
 
@@ -385,6 +389,26 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> Trie:
 
 
 def _scorer(trie: Trie):
+    keys, values = np.zeros(0, U), np.zeros(0)
+
+    def scored(u: np.ndarray) -> np.ndarray:
+        """Values of sorted distinct windows; only those that this task hasn't met go to the trie."""
+        nonlocal keys, values
+        at = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
+        known = keys[at] == u if len(keys) else np.zeros(len(u), bool)
+        out = np.empty(len(u))
+        out[known] = values[at[known]]
+        new = u[~known]
+        if len(new):
+            out[~known] = trie.score(new)
+            if len(keys) + len(new) > REMEMBERED:
+                keys, values = new, out[~known]
+            else:
+                keys, values = np.concatenate([keys, new]), np.concatenate([values, out[~known]])
+                order = np.argsort(keys, kind="stable")
+                keys, values = keys[order], values[order]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text", BLOCK):
@@ -392,7 +416,7 @@ def _scorer(trie: Trie):
                 total = np.zeros(part.num_rows)
                 for a, key in windows(data, offsets, trie.order):
                     u, inverse = np.unique(key, return_inverse=True)
-                    value = trie.score(u)[inverse]
+                    value = scored(u)[inverse]
                     rows = np.flatnonzero((offsets[1:] > a) & (offsets[:-1] < a + len(key)))
                     rows = rows[np.diff(offsets)[rows] > 0]
                     total[rows] += np.add.reduceat(value, np.maximum(offsets[rows] - a, 0))
