@@ -190,3 +190,18 @@ def suggested_verification(edges: DataFrame, ids: DataFrame) -> DataFrame:
     many = t.agg(F.count_distinct("a").alias("n"))
     one = t.crossJoin(F.broadcast(many)).select(F.when(F.col("n") >= 3, F.lit("test --all")).otherwise(F.concat(F.lit("test "), "dst")).alias("command"))
     return one.distinct()
+
+
+def anchor_region_lost(incompleteness: DataFrame, documents: DataFrame, reasons: list[str]) -> DataFrame:
+    """(path): the anchor's documents (path) of which something couldn't be observed, by one of the reasons."""
+    lost = incompleteness.filter(F.col("reason").isin(reasons)).select(F.col("document_path").alias("path"))
+    return documents.select("path").distinct().join(lost, "path", "left_semi")
+
+
+def change_sites(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, rank): where a change of the ids is felt: 0 their own sites, 1 those of callers, 2 those of implementers and overriders."""
+    own = edges.join(ids, F.col("src") == F.col("id"), "left_semi").select("doc", F.lit(0).alias("rank"))
+    into = edges.join(ids, F.col("dst") == F.col("id"), "left_semi")
+    near = into.filter(F.col("kind").isin("Calls", "Constructs", "Reads")).select("doc", F.lit(1).alias("rank"))
+    far = into.filter(F.col("kind").isin("Implements", "Overrides", "Registers", "Inherits")).select("doc", F.lit(2).alias("rank"))
+    return own.unionByName(near).unionByName(far).filter("doc IS NOT NULL").groupBy("doc").agg(F.min("rank").alias("rank"))

@@ -192,3 +192,9 @@ def reverse_doc_closure(edges: DataFrame, declared: DataFrame, changed: DataFram
         known = materialise(known.union(front))
         if known.count() > ratio * total:
             return known.select(F.col("node").alias("path")), True
+
+
+def expand_partial_parts(declared: DataFrame, seed: DataFrame) -> DataFrame:
+    """(path): all documents that declare a part of a type that a seed document (path) declares. declared: (symbol_id, path)."""
+    types = declared.join(seed.select("path").distinct(), "path", "left_semi").select("symbol_id").distinct()
+    return declared.join(types, "symbol_id", "left_semi").select("path").distinct()

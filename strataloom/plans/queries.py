@@ -331,3 +331,7 @@ query("declared_boundaries", "")(lambda t: adapters.declared_boundaries(t.spark)
 query("change_feed_windows", "", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda t: feed.counts_by_window(t.events))
 query("sink_json", "symbols", """SELECT '{"symbol_id":"' || symbol_id || '"}' AS value FROM symbols""")(lambda t: sinks.to_json(t.symbols.select("symbol_id")))
 query("sink_summary", "symbols", "SELECT kind, count(*) AS n FROM symbols GROUP BY kind")(lambda t: sinks.summary(t.symbols, "kind"))
+query("expand_partial_parts", "raw_edges", ", d AS (SELECT DISTINCT dst AS symbol_id, doc AS path FROM raw_edges WHERE kind = 'Reads') SELECT DISTINCT path FROM d WHERE symbol_id IN (SELECT symbol_id FROM d WHERE path = 'sales/1.cs')")(
+    lambda t: graph.expand_partial_parts(t.raw_edges.filter("kind = 'Reads'").select(F.col("dst").alias("symbol_id"), F.col("doc").alias("path")).distinct(), t.spark.createDataFrame([("sales/1.cs",)], "path string")))
+query("anchor_region_lost", "docs incompleteness", "SELECT DISTINCT path FROM docs WHERE path IN (SELECT document_path FROM incompleteness WHERE reason IN ('error', 'signup'))")(lambda t: capsule.anchor_region_lost(t.incompleteness, t.docs, ["error", "signup"]))
+query("change_sites", "edges", f"SELECT doc, CAST(min(r) AS INTEGER) AS rank FROM (SELECT doc, 0 AS r FROM edges WHERE src = '{PART}' UNION ALL SELECT doc, 1 FROM edges WHERE dst = '{PART}' AND kind IN ('Calls', 'Constructs', 'Reads') UNION ALL SELECT doc, 2 FROM edges WHERE dst = '{PART}' AND kind IN ('Implements', 'Overrides', 'Registers', 'Inherits')) x WHERE doc IS NOT NULL GROUP BY doc")(lambda t: capsule.change_sites(t.edges, _id(t, PART)))
