@@ -52,15 +52,15 @@ def neighbors_in(edges: DataFrame, symbol: str) -> DataFrame:
     return edges.filter(F.col("dst") == symbol)
 
 
-def trace_impact(edges: DataFrame, seeds: list[str], downstream: bool = True, kinds: Iterable[str] | None = None, max_depth: int = 3) -> DataFrame:
+def trace_impact(edges: DataFrame, seeds: list[str], downstream: bool = True, kinds: Iterable[str] | None = None, max_depth: int = 3, raw: bool = False) -> DataFrame:
     """(seed, chain, steps, truncated, first_kind, first_node, first_provenance): the maximal simple paths from each seed.
 
     A path of max_depth steps is reported as truncated without a look at what follows. Shorter ones are reported
     where no edge of the kinds leads to a node that isn't on the path. A seed without such edges has no path; loops
     are not followed; parallel edges of different kinds make different paths.
 
-    Each step keeps of the edges those that start at the frontier (a semi-join, which Catalyst pushes below the deduplication of
-    the edges; a small frontier is broadcast by its known size) and writes the new frontier to the shared folder. Paths that
+    Each step keeps of the edges those that start at the frontier, by a semi-join (a small frontier is broadcast by its known size), and
+    only then, where they are raw, deduplicates them: the frontier's end is part of the key. It writes the new frontier to the shared folder. Paths that
     ended are set aside, so nothing is evaluated twice.
     """
     here, there = ("src", "dst") if downstream else ("dst", "src")
@@ -71,7 +71,8 @@ def trace_impact(edges: DataFrame, seeds: list[str], downstream: bool = True, ki
     done = []
     for depth in range(max_depth):
         at = front.select(F.col("cur").alias("at")).distinct()
-        near = step.join(at, F.col(here) == F.col("at"), "left_semi").select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("kind").alias("k"), F.col("provenance").alias("pv"))
+        near = step.join(at, F.col(here) == F.col("at"), "left_semi")
+        near = (edge_dedup(near) if raw else near).select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("kind").alias("k"), F.col("provenance").alias("pv"))
         j = front.join(near, (F.col("cur") == F.col("at")) & ~F.array_contains("visited", F.col("next")), "left")
         go = F.col("next").isNotNull()
         first = {c: F.when(go, F.col(x)) if depth == 0 else F.col(c) for c, x in (("first_kind", "k"), ("first_node", "next"), ("first_provenance", "pv"))}

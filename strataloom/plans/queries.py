@@ -192,13 +192,13 @@ m AS (SELECT '{seed}' AS seed, chain, d AS steps, d = {depth} AS truncated, fk A
 
 
 _M = "SELECT seed, chain, steps, truncated, first_kind, first_node, first_provenance FROM m"
-query("trace_impact", "edges", _paths(CUST, True, None, 3, _M))(lambda t: graph.trace_impact(t.edges, [CUST]))
-query("trace_impact_kinds", "edges", _paths(CUST, True, "'Declares', 'Calls'", 3, _M))(lambda t: graph.trace_impact(t.edges, [CUST], kinds=["Declares", "Calls"]))
-query("trace_impact_upstream", "edges", _paths(NATION, False, None, 2, _M))(lambda t: graph.trace_impact(t.edges, [NATION], False, max_depth=2))
-query("impact_groups", "edges", _paths(CUST, True, None, 3, "SELECT seed, first_node, first_kind, count(*) AS paths, max(steps) AS max_steps, min(first_provenance) AS provenance FROM m GROUP BY seed, first_node, first_kind"))(lambda t: graph.impact_groups(graph.trace_impact(t.edges, [CUST])))
-query("path_order", "edges", _paths(CUST, True, None, 3, "SELECT chain, CAST(row_number() OVER (ORDER BY first_node, first_kind, lpad(CAST(steps AS VARCHAR), 4, '0'), chain) AS INTEGER) AS rank FROM m"))(lambda t: graph.path_order(graph.trace_impact(t.edges, [CUST])).select("chain", "rank"))
+query("trace_impact", "edges", _paths(CUST, True, None, 3, _M))(lambda t: graph.trace_impact(t.raw_edges, [CUST], raw=True))
+query("trace_impact_kinds", "edges", _paths(CUST, True, "'Declares', 'Calls'", 3, _M))(lambda t: graph.trace_impact(t.raw_edges, [CUST], kinds=["Declares", "Calls"], raw=True))
+query("trace_impact_upstream", "edges", _paths(NATION, False, None, 2, _M))(lambda t: graph.trace_impact(t.raw_edges, [NATION], False, max_depth=2, raw=True))
+query("impact_groups", "edges", _paths(CUST, True, None, 3, "SELECT seed, first_node, first_kind, count(*) AS paths, max(steps) AS max_steps, min(first_provenance) AS provenance FROM m GROUP BY seed, first_node, first_kind"))(lambda t: graph.impact_groups(graph.trace_impact(t.raw_edges, [CUST], raw=True)))
+query("path_order", "edges", _paths(CUST, True, None, 3, "SELECT chain, CAST(row_number() OVER (ORDER BY first_node, first_kind, lpad(CAST(steps AS VARCHAR), 4, '0'), chain) AS INTEGER) AS rank FROM m"))(lambda t: graph.path_order(graph.trace_impact(t.raw_edges, [CUST], raw=True)).select("chain", "rank"))
 query("impact_semantic_causes", "edges annotations", _paths(CUST, True, None, 3, "SELECT chain, string_agg(DISTINCT a.kind, ',' ORDER BY a.kind) AS causes FROM m LEFT JOIN annotations a ON a.symbol_id = m.seed GROUP BY chain"))(
-    lambda t: graph.trace_impact(t.edges, [CUST]).join(t.annotations.select("symbol_id", "kind"), F.col("seed") == F.col("symbol_id"), "left").groupBy("chain").agg(F.nullif(F.array_join(F.array_sort(F.collect_set("kind")), ","), F.lit("")).alias("causes")))
+    lambda t: graph.trace_impact(t.raw_edges, [CUST], raw=True).join(t.annotations.select("symbol_id", "kind"), F.col("seed") == F.col("symbol_id"), "left").groupBy("chain").agg(F.nullif(F.array_join(F.array_sort(F.collect_set("kind")), ","), F.lit("")).alias("causes")))
 
 
 def _reach(select: str, seed: str, here: str, there: str, depth: int, kinds: str = "") -> str:
