@@ -16,8 +16,9 @@ BITS = 256
 TABLES = 24
 SAMPLED = 12
 DISTANCE = 48
+#: Edges of a task are reduced to stars when there are more than the square of this.
 BUCKET = 1024
-#: A bucket of more rows is split by additional bits before its rows are brought together, into parts of about a quarter of this.
+#: A bucket of more rows is cut into chunks before its rows are brought together, each two of which meet in a part of less than twice as many rows.
 SPLIT = 64 * BUCKET
 
 
@@ -55,7 +56,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sampled(bits: int = BITS) -> np.ndarray:
-    """For each table an order of all coordinates: the first SAMPLED make the key, the next ones refine it."""
+    """For each table an order of all coordinates: the first SAMPLED make the key."""
     rng = np.random.default_rng(20240229)
     return np.stack([rng.permutation(bits) for _ in range(TABLES)])
 
@@ -79,20 +80,24 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
 
 
-def _keys(more: dict[int, int]):
-    """more: for each bucket that is split beforehand the number of additional bits."""
+def _keys(chunks: dict[int, int]):
+    """chunks: for each bucket that is cut beforehand the number of its chunks. A row goes to the parts of its chunk with each one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders, large = sampled(), np.array(sorted(more), np.int64)
+        orders, large = sampled(), np.array(sorted(chunks), np.int64)
         for batch in batches:
-            bits = _bits(batch)
+            bits, ids = _bits(batch), batch.column("id").to_numpy().astype(np.int64).view(U)
             for t, order in enumerate(orders):
                 key = _value(bits, order[:SAMPLED]) + (t << SAMPLED)
-                part = np.zeros(len(key), np.int64)
-                for k in np.intersect1d(key, large):
-                    at = np.flatnonzero(key == k)
-                    part[at] = _value(bits[at], order[SAMPLED : SAMPLED + more[int(k)]])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), batch.column("id"), batch.column("sig")], ["key", "part", "id", "sig"])
+                cut = np.isin(key, large)
+                at = np.flatnonzero(~cut)
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.zeros(len(at), np.int64)), batch.column("id").take(pa.array(at)), batch.column("sig").take(pa.array(at))], ["key", "part", "id", "sig"])
+                for k in np.unique(key[cut]):
+                    at, c = np.flatnonzero(key == k), chunks[int(k)]
+                    own = (mix(ids[at], 7) % U(c)).astype(np.int64)
+                    for other in range(c):
+                        part = np.minimum(own, other) * c + np.maximum(own, other)
+                        yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(part), batch.column("id").take(pa.array(at)), batch.column("sig").take(pa.array(at))], ["key", "part", "id", "sig"])
 
     return run
 
@@ -115,27 +120,17 @@ def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return moved, label[moved]
 
 
-def near(sig: np.ndarray, ids: np.ndarray, key: np.ndarray, table: int, distance: int = DISTANCE, bucket: int = BUCKET, step: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def near(sig: np.ndarray, ids: np.ndarray, key: np.ndarray, table: int = 0, distance: int = DISTANCE, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray]:
     """Edges (id, lower id) that join, in each bucket, the rows within `distance`; one star for each group.
 
-    A bucket of over `bucket` rows is split by further sampled bits, until it fits or no bit is left.
+    All pairs of a bucket are compared, however many rows it has. Over bucket * bucket edges are reduced to stars before more are found.
     """
-    order, used, keys = sampled()[table], SAMPLED, key.astype(U)
-    bits = None
-    while used < BITS:
-        _, inv, n = np.unique(keys, return_inverse=True, return_counts=True)
-        big = n[inv] > bucket
-        if not big.any():
-            break
-        bits = np.unpackbits(sig, axis=1) if bits is None else bits
-        more = bits[:, order[used : used + step]].astype(U) @ (U(1) << np.arange(len(order[used : used + step]), dtype=U))
-        keys = np.where(big, mix(keys * U(8) + more + U(1)), keys)
-        used += step
+    keys = key.astype(U)
     rank = np.lexsort((ids, keys))
     ids, keys, words = ids[rank], keys[rank], np.ascontiguousarray(sig[rank]).view(U).reshape(len(ids), -1)
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
     left = np.repeat(np.append(start[1:], len(keys)), np.diff(np.append(start, len(keys)))) - np.arange(len(keys)) - 1
-    a_all, b_all, at, s = [], [], np.flatnonzero(left > 0), 1
+    a_all, b_all, held, at, s = [], [], 0, np.flatnonzero(left > 0), 1
     while len(at):
         far = np.zeros(len(at), np.uint16)
         for k in range(words.shape[1]):
@@ -143,6 +138,10 @@ def near(sig: np.ndarray, ids: np.ndarray, key: np.ndarray, table: int, distance
         hit = at[far <= distance]
         a_all.append(hit)
         b_all.append(hit + s)
+        held += len(hit)
+        if held > bucket * bucket:
+            moved, root = _stars(ids, np.concatenate(a_all), np.concatenate(b_all))
+            a_all, b_all, held = [moved], [root], 0
         s += 1
         at = at[left[at] >= s]
     if not a_all:
@@ -193,16 +192,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shards: int | None = N
     signatures differ in at most DISTANCE of BITS bits and agree on the SAMPLED coordinates of one of TABLES
     tables; groups are the connected components. Documents of equal signature are linked through the
     least of them and only that one enters the tables. Within a bucket all pairs are compared, and one star for each
-    group leaves it, so copies in thousands make no more rows than there are copies. A bucket
-    of over BUCKET rows is split by two more bits at a time; what that parts, other tables join. Buckets of over SPLIT rows are split
-    so before their rows are brought together, so that no task holds more; their sizes, at most TABLES x 2**SAMPLED rows, are
+    group leaves it, so copies in thousands make no more rows than there are copies. Buckets of over SPLIT rows are cut into
+    chunks before their rows are brought together, and each two chunks meet in one part, so that all pairs of a bucket are compared whatever
+    its size and no part holds 2 SPLIT rows or more. The comparisons of a bucket grow with the square of its rows. Their sizes, at most TABLES x 2**SAMPLED rows, are
     counted first and reach the driver.
 
     Documents with a null id, a null text or no word are never reported. Repeated rows and
     rows of the same doc_id are one document; where their texts differ each of them links it. Empty table: empty.
     Other columns are not looked at.
 
-    Shuffles: 48 bytes a document and table, and the edges. Groups of shards hold whole buckets.
+    Shuffles: 48 bytes a document and table, as many times as a large bucket has chunks, and the edges. Groups of shards hold whole buckets.
     """
     text = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sig = shared_table(spark, text.mapInArrow(_sign, "id bigint, sig binary"), "signatures")
@@ -210,8 +209,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shards: int | None = N
     equal = sig.join(firsts.select("sig", F.col("id").alias("b")), "sig").filter("id <> b").select(F.col("id").alias("a"), "b")
     n = shards or max(TABLES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sizes = firsts.mapInArrow(_sizes, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > SPLIT)
-    more = {r.key: min(40, 2 * (max(1, 4 * r.n // SPLIT).bit_length() // 2)) for r in sizes.collect()}
-    keyed = firsts.mapInArrow(_keys(more), "key bigint, part bigint, id bigint, sig binary").withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(n)))
+    chunks = {r.key: r.n // SPLIT + 1 for r in sizes.collect()}
+    keyed = firsts.mapInArrow(_keys(chunks), "key bigint, part bigint, id bigint, sig binary").withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(n)))
     near_ = keyed.groupBy("shard").applyInArrow(lambda t: _bucket_edges(t), "a bigint, b bigint")
     return components(spark, equal.union(near_)).select(F.col("id").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 

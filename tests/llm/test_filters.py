@@ -120,6 +120,34 @@ def test_oversized_buckets_are_split():
     assert {(int(x), int(y)) for x, y in zip(a, b)} == {(600 + i, i) for i in range(200)}
 
 
+def near_pairs(rng, n):
+    """Signatures that agree on the coordinates of table 0, 2k and 2k + 1 at a distance of 30 to 48."""
+    sig = rng.integers(0, 2, (2 * n, simhash.BITS)).astype(np.uint8)
+    free = simhash.sampled()[0][simhash.SAMPLED :]
+    sig[:, simhash.sampled()[0][: simhash.SAMPLED]] = 1
+    for k in range(n):
+        sig[2 * k + 1] = sig[2 * k]
+        sig[2 * k + 1, rng.choice(free, 30 + k % 19, replace=False)] ^= 1
+    return np.packbits(sig, axis=1)
+
+
+def test_large_buckets_lose_no_pair():
+    sig = near_pairs(np.random.default_rng(4), simhash.BUCKET)
+    a, b = simhash.near(sig, np.arange(len(sig)), np.zeros(len(sig), np.int64), 0)
+    assert {(int(x), int(y)) for x, y in zip(a, b)} >= {(2 * k + 1, 2 * k) for k in range(simhash.BUCKET)}
+
+
+def test_chunks_of_large_buckets_all_meet():
+    n, c = 200, 5
+    sig = near_pairs(np.random.default_rng(6), n)
+    key = int(simhash._value(np.unpackbits(sig[:1], axis=1), simhash.sampled()[0][: simhash.SAMPLED])[0])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n)), pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "sig"])
+    t = pa.Table.from_batches(list(simhash._keys({key: c})([batch])))
+    t = t.filter(pa.array(t["key"].to_numpy() == key))
+    out = simhash._bucket_edges(t)
+    assert set(zip(out["a"].to_pylist(), out["b"].to_pylist())) >= {(2 * k + 1, 2 * k) for k in range(n)}
+
+
 # --- decontamination --------------------------------------------------------------------------------------------
 
 
