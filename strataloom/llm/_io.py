@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +37,15 @@ def shared_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes shared tables from which everything was made already."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -54,3 +66,26 @@ def posix(path: str) -> str:
     if "://" in path and not path.startswith("file://"):
         raise ValueError(f"{path}: memory-mapped models need a shared folder that is mounted as a file system")
     return path.removeprefix("file://").replace("file:", "", 1) if path.startswith("file:") else path
+
+
+def whole(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of batches sorted by some columns, none of which ends within a group."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        if held is not None:
+            same = all(held[-1].column(n)[-1] == batch.column(n)[0] and batch.column(n)[0] == batch.column(n)[-1] for n in by)
+            if same:
+                held.append(t)
+                continue
+            t = pa.concat_tables([*held, t]).combine_chunks()
+        k = [t.column(n).to_numpy() for n in by]
+        cut = np.flatnonzero(~np.logical_and.reduce([x == x[-1] for x in k]))
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        held = [t.slice(cut)]
+        if cut:
+            yield t.slice(0, cut)
+    if held is not None:
+        yield pa.concat_tables(held).combine_chunks()

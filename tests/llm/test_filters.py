@@ -69,83 +69,92 @@ def groups(pairs):
     return {x: find(x) for x in root}
 
 
-def test_near_duplicates(spark):
+def meets(words, layout):
+    """Brute force: for all pairs of signatures whether they are within DISTANCE and have a key in common."""
+    bits = np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32)
+    far = bits @ (1 - bits.T) + (1 - bits) @ bits.T
+    together = np.zeros(far.shape, bool)
+    for key in simhash._values(words, simhash.sampled(*layout)):
+        together |= key[:, None] == key[None, :]
+    return far <= simhash.DISTANCE, together
+
+
+def test_near_duplicates(spark, monkeypatch):
     rng = random.Random(2)
-    rows, near = [], []
+    rows = []
     for i in range(150):
         rows.append((i, " ".join(words(rng, rng.randrange(40, 200))), None, "s"))
     for k in range(80):
         base = rng.randrange(150)
         w = rows[base][1].split()
-        for _ in range(max(1, len(w) // 50)):
+        for _ in range(max(1, len(w) // rng.choice([12, 25, 50]))):
             w[rng.randrange(len(w))] = "changed"
         rows.append((1000 + k, " ".join(w), None, "s"))
-        near.append((1000 + k, base))
-    rows += [(2000, rows[3][1], None, None), (2001, rows[3][1].upper(), None, "s"), (3, rows[3][1], None, "s"), (2002, None, None, "s"), (2003, "", None, "s"), (2004, "...", None, "s"), (None, rows[3][1], None, "s"), (2005, "lone", None, "s"), (2006, "lone", None, "s")]
-    rows += [(3000 + k, rows[9][1], None, "s") for k in range(1500)]
-    got = {r.doc_id: r.kept_doc_id for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
-    # brute force over all pairs of signatures
-    keep = [(i, t) for i, t, *_ in rows if i is not None and t and i < 3000]
-    sig, n = simhash.signatures(Words.of(pa.array([t for _, t in keep])))
-    bits = np.unpackbits(sig, axis=1).astype(np.int32)
-    far = bits @ (1 - bits.T) + (1 - bits) @ bits.T
-    ok = n > 0
-    pairs = [(keep[a][0], keep[b][0]) for a in range(len(keep)) for b in range(a) if ok[a] and ok[b] and keep[a][0] != keep[b][0] and far[a, b] <= simhash.DISTANCE]
-    want = groups(pairs)
-    want = {a: r for a, r in want.items() if a != r}
-    caught = sum(got.get(a) == r for a, r in want.items())
-    assert caught >= 0.95 * len(want) and set(got) - {3000 + k for k in range(1500)} <= set(want)
-    assert all(got[3000 + k] == want.get(9, 9) for k in range(1500))
-    assert got[2000] == got[2001] == got.get(3, 3) and got[2006] == 2005
+    rows += [(2000, rows[3][1], None, None), (2001, rows[3][1].upper(), None, "s"), (3, rows[3][1], None, "s"), (2002, None, None, "s"), (2003, "", None, "s"), (2004, "...", None, "s"), (None, rows[3][1], None, "s"), (2005, "lone", None, "s"), (2006, "lone", None, "s"), (2007, rows[5][1], None, "s"), (2007, rows[6][1], None, "s"), (2008, "long " * 200_000, None, "s")]
+    rows += [(3000 + k, rows[9][1], None, "s") for k in range(500)]
+    got = {r.doc_id: (r.class_id, r.copies, r.links) for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
+    keep = sorted({(i, t) for i, t, *_ in rows if i is not None and t and t != "..."})
+    sig, _ = simhash.signatures(Words.of(pa.array([t for _, t in keep])))
+    sigs, of = np.unique(np.ascontiguousarray(sig).view(np.int64).reshape(len(keep), -1), axis=0, return_inverse=True)
+    docs = {i: sorted({int(of.ravel()[k]) for k, (j, _) in enumerate(keep) if j == i}) for i, _ in keep}
+    holders = [sorted(i for i in docs if s in docs[i]) for s in range(len(sigs))]
+    close, together = meets(sigs, simhash.layout(len(sigs)))
+    linked = close & together & ~np.eye(len(sigs), dtype=bool)
+    pairs = [(holders[a][0], holders[b][0]) for a, b in np.argwhere(linked)] + [(h[0], i) for h in holders for i in h[1:]]
+    root = groups(pairs)
+    want = {i: (root.get(i, i), sum(len(holders[s]) - 1 for s in docs.get(i, [])), int(sum(linked[s].sum() for s in docs.get(i, [])))) for i, *_ in rows if i is not None}
+    assert got == want
+    assert (close & together).sum() >= 0.95 * close.sum() and linked.sum() > 50
+    assert got[2001][0] == got[3][0] and got[2006] == (2005, 1, 0) and got[2003] == (2003, 0, 0)
     kept = [r.doc_id for r in simhash.drop_near_duplicates(spark, frame(spark, rows)).collect()]
-    assert None in kept and {2002, 2003, 2004} <= set(kept) and len(kept) == len([r for r in rows if r[0] not in got])
+    assert sorted(kept, key=str) == sorted((i for i, *_ in rows if i is None or want[i][0] == i), key=str)
+    monkeypatch.setattr(simhash, "SPLIT", 1)  # every bucket of several rows is cut into chunks
+    assert {r.doc_id: (r.class_id, r.copies, r.links) for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()} == want
     assert simhash.near_duplicates(spark, frame(spark, [])).collect() == []
 
 
-def test_large_buckets_are_split_beforehand(spark, monkeypatch):
-    rng = random.Random(12)
-    rows = [(i, " ".join(words(rng, 60)), None, "s") for i in range(200)]
-    rows += [(1000 + i, rows[i][1].replace("a", "a", 1) + " tail", None, "s") for i in range(200)]
-    want = {(r.doc_id, r.kept_doc_id) for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
-    monkeypatch.setattr(simhash, "SPLIT", 1)
-    got = {(r.doc_id, r.kept_doc_id) for r in simhash.near_duplicates(spark, frame(spark, rows)).collect()}
-    assert {(1000 + i, i) for i in range(200)} <= want and len(got & want) >= 0.95 * len(want) and got <= want
-
-
-def test_oversized_buckets_are_split():
-    rng = np.random.default_rng(3)
-    sig = rng.integers(0, 256, (600, simhash.BITS // 8)).astype(np.uint8)
-    sig = np.concatenate([sig, sig[:200]])
-    a, b = simhash.near(sig, np.arange(800), np.zeros(800, np.int64), 0, bucket=32)
-    assert {(int(x), int(y)) for x, y in zip(a, b)} == {(600 + i, i) for i in range(200)}
-
-
-def near_pairs(rng, n):
-    """Signatures that agree on the coordinates of table 0, 2k and 2k + 1 at a distance of 30 to 48."""
+def near_pairs(rng, n, order):
+    """Signatures that agree on the coordinates of a table, 2k and 2k + 1 at a distance of 30 to 48."""
     sig = rng.integers(0, 2, (2 * n, simhash.BITS)).astype(np.uint8)
-    free = simhash.sampled()[0][simhash.SAMPLED :]
-    sig[:, simhash.sampled()[0][: simhash.SAMPLED]] = 1
+    sig[:, order] = 1
+    free = np.setdiff1d(np.arange(simhash.BITS), order)
     for k in range(n):
         sig[2 * k + 1] = sig[2 * k]
         sig[2 * k + 1, rng.choice(free, 30 + k % 19, replace=False)] ^= 1
-    return np.packbits(sig, axis=1)
-
-
-def test_large_buckets_lose_no_pair():
-    sig = near_pairs(np.random.default_rng(4), simhash.BUCKET)
-    a, b = simhash.near(sig, np.arange(len(sig)), np.zeros(len(sig), np.int64), 0)
-    assert {(int(x), int(y)) for x, y in zip(a, b)} >= {(2 * k + 1, 2 * k) for k in range(simhash.BUCKET)}
-
-
-def test_chunks_of_large_buckets_all_meet():
-    n, c = 200, 5
-    sig = near_pairs(np.random.default_rng(6), n)
-    key = int(simhash._value(np.unpackbits(sig[:1], axis=1), simhash.sampled()[0][: simhash.SAMPLED])[0])
-    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n)), pa.array([s.tobytes() for s in sig], pa.binary())], ["id", "sig"])
-    t = pa.Table.from_batches(list(simhash._keys({key: c})([batch])))
-    t = t.filter(pa.array(t["key"].to_numpy() == key))
-    out = simhash._bucket_edges(t)
-    assert set(zip(out["a"].to_pylist(), out["b"].to_pylist())) >= {(2 * k + 1, 2 * k) for k in range(n)}
+    return np.packbits(sig, axis=1).view(np.int64)
+
+
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_large_buckets_lose_no_pair(chunks):
+    n = 300
+    orders = simhash.sampled(*simhash.layout(2 * n))
+    sig = near_pairs(np.random.default_rng(6), n, orders[0])
+    key = int(next(simhash._values(sig[:1], orders)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n)), *[pa.array(sig[:, k]) for k in range(4)]], ["id", *simhash.WORDS])
+    t = pa.Table.from_batches(list(simhash._keys(orders, {key: chunks} if chunks > 1 else {})([batch])))
+    t = t.filter(pa.array(t["key"].to_numpy() == key)).sort_by([("key", "ascending"), ("part", "ascending")])
+    out = pa.Table.from_batches(list(simhash._linker(orders)(iter(t.to_batches(max_chunksize=100)))))
+    found = set(zip(out["a"].to_pylist(), out["b"].to_pylist(), out["links"].to_pylist()))
+    assert found >= {(2 * k + 1, 2 * k, 0) for k in range(n)} and found >= {(i, i, 1) for i in range(2 * n)}
+
+
+def test_recall_holds_at_every_size():
+    p = 1 - simhash.DISTANCE / simhash.BITS
+    for n in (0, 1, 10**5, 10**7, 10**9, 10**11):
+        bits, tables = simhash.layout(n)
+        assert 1 - (1 - p**bits) ** tables >= simhash.RECALL and n / 2**bits <= simhash.BUCKET
+    rng = np.random.default_rng(8)
+    for size in (1 << 20, 1 << 26):
+        orders = simhash.sampled(*simhash.layout(size))
+        pairs = np.packbits(rng.integers(0, 2, (2000, simhash.BITS)).astype(np.uint8), axis=1)
+        flips = np.zeros((2000, simhash.BITS), np.uint8)
+        for row in flips:
+            row[rng.choice(simhash.BITS, simhash.DISTANCE, replace=False)] = 1
+        other = pairs ^ np.packbits(flips, axis=1)
+        met = np.zeros(2000, bool)
+        for a, b in zip(simhash._values(pairs.view(np.int64), orders), simhash._values(other.view(np.int64), orders)):
+            met |= a == b
+        assert met.mean() >= simhash.RECALL - 0.03
 
 
 # --- decontamination --------------------------------------------------------------------------------------------
