@@ -28,8 +28,8 @@ CANDIDATE = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
-    r"|(?P<secret>(?<![A-Za-z0-9+/_-])(?=[^\s]{0,255}\d)[A-Za-z0-9+/_-]{20,})"
-    r"|(?P<phone>(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d))"
+    r"|(?P<secret>(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,})"
+    r"|(?P<phone>(?<![\d.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?|\(\d{1,5}\)[ .-]?|(?=0|\d+[ .-]))\d{1,12}(?:[ .-]\d{1,12}){0,6}(?!\d))"
 )
 _STRICT = {
     "email": re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
@@ -38,7 +38,7 @@ _STRICT = {
     "iban": re.compile(r"[A-Z]{2}\d{2}[A-Z0-9 ]{11,40}"),
     "card": re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}"),
     "secret": re.compile(r"[0-9a-f]{24,}|[0-9A-F]{24,}|(?=.*[a-z])(?=.*[A-Z])(?=.*\d)[A-Za-z0-9+/_-]{20,}|(?:sk|pk|ghp|xox[a-z]|AKIA)[A-Za-z0-9_-]{16,}"),
-    "phone": re.compile(r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}([ .-])\d{3}\1\d{4}"),
+    "phone": re.compile(r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\+\d{8,15}|\+\d{1,3}(?:([ .-])\d{1,8}){1,6}|\(\d{2,5}\)[ .-]?\d{3,8}(?:[ .-]?\d{3,4})?|\d{3}([ .-])\d{3}\2\d{4}|0\d{2,4}([ .-])\d{5,9}|0\d(?:([ .-])\d\d){4}"),
 }
 _NEAR = {
     "email": {"email", "e", "mail", "contact", "kontakt", "correo", "courriel", "write", "address"},
@@ -120,7 +120,7 @@ def span_features(kind: str, span: str, left: str, right: str, vote: tuple[int,
     mask = re.sub(r"[A-Z]+", "A", re.sub(r"[a-z]+", "a", re.sub(r"\d+", "9", span)))
     words = [w.lower() for w in _WORD.findall(left)[-2:]]
     share = sum(c.isdigit() for c in span) * 4 // len(span)
-    out = {_slot("kind", kind), _slot("mask", kind, mask[:12]), _slot("length", kind, min(8, len(span) // 5)), _slot("digits", kind, share), _slot("entropy", kind, int(entropy(span)))}
+    out = {_slot("kind", kind), _slot("mask", kind, mask), _slot("length", kind, min(8, len(span) // 5)), _slot("digits", kind, share), _slot("entropy", kind, int(entropy(span)))}
     out |= {_slot("near", kind, any(w in _NEAR[kind] for w in words)), _slot("edge", kind, left[-1:].isalnum(), right[:1].isalnum())}
     return sorted(out | {_slot("vote", kind, i, v) for i, v in enumerate(vote)})
 
@@ -130,7 +130,7 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, tuple[int, ...], list
         kind, span, s, e = m.lastgroup, m.group(), m.start(), m.end()
         if kind == "secret" and (not any(c.isalpha() for c in span) or not any(c.isdigit() for c in span)):
             continue
-        if kind == "phone" and sum(c.isdigit() for c in span) < 7:
+        if kind == "phone" and not 7 <= sum(c.isdigit() for c in span) <= 15:
             continue
         left, right = text[max(0, s - 48) : s], text[e : e + 8]
         v = votes(kind, span, left, right)
@@ -169,8 +169,13 @@ class Reliability:
         return 1 / (1 + math.exp(-min(50.0, max(-50.0, odds))))
 
 
-def expectation_maximisation(patterns: list[tuple[str, str, int]], rounds: int = 100, strength: float = 20.0) -> Reliability:
-    """Dawid and Skene's model for counts of (kind, votes), with pseudo-counts that take a labeler to be right four times in five."""
+def expectation_maximisation(patterns: list[tuple[str, str, int]], rounds: int = 200, strength: float = 0.03) -> Reliability:
+    """Dawid and Skene's model for counts of (kind, votes).
+
+    Counts are taken as shares of all candidates, and so is the weight of what is assumed beforehand, that a labeler is right six times in ten
+    and wrong once: `strength` for either class, whatever the number of candidates. So the same mixture of patterns gives the same model at every size, and the class of
+    the false spans keeps its meaning where hardly any candidate is false. A kind's share of true spans is held between 0.05 and 0.98.
+    """
     n = len(LABELERS)
     base = np.zeros((n, 2, 3))
     base[:, 1] = [0.1, 0.3, 0.6]
@@ -178,9 +183,9 @@ def expectation_maximisation(patterns: list[tuple[str, str, int]], rounds: int =
     model = Reliability({k: 0.5 for k in KINDS}, base / base.sum(2, keepdims=True))
     total = sum(c for *_, c in patterns)
     for _ in range(rounds if total else 0):
-        chance, truth, size = base * strength, {k: 1.0 for k in KINDS}, {k: 2.0 for k in KINDS}
+        chance, truth, size = base * strength, dict.fromkeys(KINDS, 0.0), dict.fromkeys(KINDS, 0.0)
         for kind, pattern, c in patterns:
-            p = model.posterior(kind, pattern)
+            p, c = model.posterior(kind, pattern), c / total
             truth[kind] += p * c
             size[kind] += c
             for i, v in enumerate(pattern):
@@ -188,7 +193,8 @@ def expectation_maximisation(patterns: list[tuple[str, str, int]], rounds: int =
                 chance[i, 0, "-0+".index(v)] += (1 - p) * c
         new = chance / chance.sum(2, keepdims=True)
         done = np.abs(new - model.chance).max() < 1e-7
-        model = Reliability({k: min(0.98, max(0.02, truth[k] / size[k])) for k in KINDS}, new)
+        prior = {k: (truth[k] + strength * size[k] / 2) / (size[k] * (1 + strength)) if size[k] else 0.5 for k in KINDS}
+        model = Reliability({k: min(0.98, max(0.05, p)) for k, p in prior.items()}, new)
         if done:
             break
     return model
@@ -223,6 +229,8 @@ def find_pii(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD,
     kind and pattern (at most 7 x 729 rows), go to the driver, where EM estimates how reliable each labeler is. The posteriors are
     the soft labels of a logistic classifier, which is fitted on at most `sample` candidates, those of the least hash, and decides all.
 
+    Labelers see 48 characters to the left of a span and 8 to the right, besides the whole span. doc_id must be an integer.
+
     A null doc_id is reported with null spans' doc_id; null and empty texts have no spans; repeated rows are each reported
     on their own; offsets count characters from 0. Overlaps don't occur: a span goes to the first kind in the order of
     KINDS that matches at its place. Empty table, or no candidates: empty. Other columns aren't looked at. No text is shuffled.
