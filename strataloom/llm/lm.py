@@ -1,8 +1,7 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
+"""Language-model scoring with an Elias-Fano n-gram trie over words.
 
-The model is an interpolated Kneser-Ney model over UTF-8 bytes (ASCII and Latin-1 letters in lower case) of order
-ORDER, counted over the whole corpus without a cutoff. Bytes leave no word outside the vocabulary, and the number of
-distinct n-grams levels off while the corpus grows, so the trie stays mappable at any size of the corpus.
+The model is an interpolated trigram model with absolute discounts, over all words of the corpus: no word and no n-gram is cut off. Words are
+compared without case and punctuation and known by 32 bits of hash, so of a vocabulary of V words about V * V / 2**33 pairs are taken for one.
 """
 
 from __future__ import annotations
@@ -13,16 +12,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import posix, shared_dir, shared_table
-from ._text import U, buffers, distinct, lower, slices
+from ._io import fresh, posix, shared_dir, shared_table, whole
+from ._text import U, Words, buffers, mix, slices
 
-ORDER = 6
-BLOCK = 1 << 20
-#: Windows that a task remembers the value of, at most; beyond that it begins anew.
-REMEMBERED = 1 << 21
+ORDER = 3
+#: Words that a task counts before it writes the counts, and bytes of text that it scores at once.
+COUNTED = 1 << 21
+BLOCK = 1 << 22
+#: Bytes of text for each shard of the trie, about; a shard is built in the memory of one task.
+SHARD = 32 << 20
 CODES = 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _POP = _BITS.sum(1).astype(np.uint8)
@@ -116,151 +117,131 @@ class EliasFano:
         return out
 
 
-_LOW = np.array([(1 << (8 * (k + 1))) - 1 for k in range(8)], object).astype(U)  # keeps k + 1 bytes
-
 # --- counting ---------------------------------------------------------------------------------------------------
 
 
-def _folded(data: np.ndarray) -> np.ndarray:
-    out = lower(data)
-    return np.where(out == 0, np.uint8(32), out)
-
-
-def windows(data: np.ndarray, offsets: np.ndarray, order: int = ORDER, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
-    """(first byte, the window of `order` bytes that ends in each byte of a block); bytes before a text are 0."""
-    data = _folded(data)
-    starts = distinct(offsets[offsets < len(data)])
-    for a in range(0, len(data), block):
-        b = min(len(data), a + block)
-        lo = max(0, a - order + 1)
-        part = data[lo:b].astype(U)
-        key = part.copy()
-        for back in range(1, order):
-            key[back:] |= part[:-back] << U(8 * back)
-        key = key[a - lo :]
-        near = starts[(starts > a - order) & (starts < b)]
-        for k in range(order - 1):  # bytes before a text's first one are 0
-            i = near + k
-            i = i[(i >= a) & (i < b)]
-            own = starts[np.searchsorted(starts, i, "right") - 1]
-            key[i - a] &= _LOW[np.minimum(i - own, order - 1)]
-        yield a, key
-
-
-def _sum_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(n, first)
-
-
-def _counter(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: list[tuple[np.ndarray, np.ndarray]] = []
-        size, limit = 0, 1 << 21
+def codes(words: Words) -> np.ndarray:
+    """32 bits for each word; 0 stands for what is before a text."""
+    return np.maximum(words.hash >> U(32), U(1))
 
-        def out(parts):
-            for keys, n in parts:
-                for i in range(0, len(keys), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 17)].astype(np.int64)), pa.array(n[i : i + (1 << 17)])], ["g", "c"])
 
-        for batch in batches:
-            for part in slices(batch, most=BLOCK):
-                for _, key in windows(*buffers(part.column("text")), order):
-                    have.append(np.unique(key, return_counts=True))
-                    size += len(have[-1][0])
-                    if size > limit:
-                        have = [_sum_up(have)]
-                        size = len(have[0][0])
-                        if size > limit // 2:  # more than a task should hold: passed on in part, Spark adds them up
-                            yield from out(have)
-                            have, size = [], 0
-        if have:
-            yield from out([_sum_up(have)])
+def contexts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the word before the last, the last word, the word) at each place."""
+    w = codes(words)
+    first = words.first[:-1][np.diff(words.first) > 0]
+    v = np.append(U(0), w[:-1]) if len(w) else w
+    v[first] = 0
+    u = np.append(U(0), v[:-1]) if len(w) else w
+    u[first] = 0
+    return u, v, w
 
-    return run
 
+def rank(level: int, ctx: np.ndarray) -> np.ndarray:
+    """The order of contexts, by whose high bits they belong to shards: level 3 by hash, as one word may begin many bigrams."""
+    return mix(ctx) if level == 3 else ctx << U(32)
 
-def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, c): the windows of all texts and how often they occur."""
-    text = docs.filter(F.col("text").isNotNull()).select("text")
-    return text.mapInArrow(_counter(order), "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
+def counted(level: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, word) in the order of rank and word, and how often they occur."""
+    if not len(w):
+        return ctx, w, np.zeros(0, np.int64)
+    r = rank(level, ctx)
+    by = np.lexsort((w, r))
+    r, w, ctx = r[by], w[by], ctx[by]
+    at = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1])))
+    n = np.diff(np.append(at, len(w))) if c is None else np.add.reduceat(c[by], at)
+    return ctx[at], w[at], n
 
-# --- smoothing --------------------------------------------------------------------------------------------------
 
+def _pack_counts(ctx: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
+    at = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+    size = np.diff(np.append(at, len(w)))
+    raw = b"".join([np.array([len(at), len(w)], np.int64).tobytes(), ctx[at].astype(U).tobytes(), size.astype(np.uint32).tobytes(), w.astype(np.uint32).tobytes(), c.astype(np.uint32).tobytes()])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-def _mask(k: int) -> int:
-    return (1 << (8 * k)) - 1
 
+def _unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n, m = np.frombuffer(raw, np.int64, 2)
+    at = 16 + 8 * n
+    ctx, size = np.frombuffer(raw, U, n, 16), np.frombuffer(raw, np.uint32, n, at)
+    w, c = np.frombuffer(raw, np.uint32, m, at + 4 * n), np.frombuffer(raw, np.uint32, m, at + 4 * n + 4 * m)
+    return np.repeat(ctx, size), w.astype(U), c.astype(np.int64)
 
-def discount(n1: float, n2: float) -> float:
-    return min(0.95, n1 / (n1 + 2 * n2)) if n1 else 0.5
 
+PIECES = "level int, part int, file string, at bigint, size bigint"
 
-def smoothed(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
-    """(k, g, rel, up, p, bo) of each n-gram and the probability of a byte that never occurs.
 
-    rel: rank of its last byte among the successors of its context; up: the same for the n-gram without its
-    first byte, by which the trie knows it. Interpolated Kneser-Ney: below the highest order an n-gram counts by its distinct
-    left neighbours; the lowest order is mixed with 1/256.
-    """
-    top = counted(docs, order).unionByName(spark.createDataFrame([(0, 0)], "g bigint, c bigint")).groupBy("g").agg(F.sum("c").alias("c"))
-    level = {order: shared_table(spark, top, f"grams{order}")}
-    for k in range(order - 1, 0, -1):
-        one = F.when(F.col("c") > 0, 1).otherwise(0)
-        level[k] = shared_table(spark, level[k + 1].groupBy(F.col("g").bitwiseAND(F.lit(_mask(k))).alias("g")).agg(F.sum(one).cast("bigint").alias("c")), f"grams{k}")
-    rows, below, unseen = {}, None, 1 / 256
-    for k in range(1, order + 1):
-        n = level[k].agg(F.sum((F.col("c") == 1).cast("int")).alias("a"), F.sum((F.col("c") == 2).cast("int")).alias("b")).first()
-        d = F.lit(discount(n.a or 0, n.b or 0))
-        context = Window.partitionBy("ctx")
-        x = level[k].withColumn("ctx", F.shiftright("g", 8)).withColumns({
-            "total": F.sum("c").over(context), "kinds": F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).over(context), "rel": (F.row_number().over(context.orderBy("g")) - 1).cast("int")})
-        x = x.withColumn("gamma", F.when(F.col("total") > 0, d * F.col("kinds") / F.col("total")).otherwise(F.lit(1.0)))
-        direct = F.when(F.col("total") > 0, F.greatest(F.col("c") - d, F.lit(0.0)) / F.col("total")).otherwise(F.lit(0.0))
-        if below is None:
-            x = x.withColumns({"p": direct + F.col("gamma") / 256, "up": F.lit(0)})
-        else:
-            lo = below.select(F.col("g").alias("low"), F.col("p").alias("lp"), F.col("rel").alias("up"))
-            x = x.join(lo, F.col("g").bitwiseAND(F.lit(_mask(k - 1))) == F.col("low")).withColumn("p", direct + F.col("gamma") * F.col("lp"))
-        rows[k] = below = shared_table(spark, x.select("g", "ctx", "rel", "up", "p", "gamma"), f"smooth{k}")
-        if k == 1:
-            unseen = (below.select("gamma").first() or [1.0])[0] / 256
-    out = None
-    for k in range(1, order + 1):
-        x = rows[k].withColumn("k", F.lit(k))
-        if k < order:
-            bo = rows[k + 1].filter("rel = 0").select(F.col("ctx").alias("node"), F.col("gamma").alias("bo"))
-            x = x.join(bo, F.col("g") == F.col("node"), "left")
-        else:
-            x = x.withColumn("bo", F.lit(None).cast("double"))
-        x = x.select("k", "g", "rel", "up", F.log10("p").cast("float").alias("p"), F.log10(F.coalesce("bo", F.lit(1.0))).cast("float").alias("bo"))
-        out = x if out is None else out.unionByName(x)
-    return out, unseen
-
-
-# --- trie -------------------------------------------------------------------------------------------------------
-
-
-def build_shard(k: np.ndarray, g: np.ndarray, up: np.ndarray, p: np.ndarray, bo: np.ndarray, order: int, books: dict) -> dict[str, np.ndarray]:
-    """The levels of all n-grams that begin with one byte. A child is known by 256 x its parent + its rank among the successors of the context without the first byte."""
-    out, parents = {}, None
-    for level in range(1, order + 1):
-        at = np.flatnonzero(k == level)
-        at = at[np.argsort(g[at])]
-        keys = g[at].astype(U)
-        if level > 1:
-            parent = np.searchsorted(parents, keys >> U(8))
-            out |= {f"{level}.value.{n}": a for n, a in elias_fano(parent.astype(U) * U(256) + up[at].astype(U), 256 * max(1, len(parents))).items()}
-            starts = np.searchsorted(parent, np.arange(len(parents) + 1))
-            out |= {f"{level}.pointer.{n}": a for n, a in elias_fano(starts, len(keys) + 1).items()}
-        out[f"{level}.p"] = quantise(p[at], books["p", level])
-        if level < order:
-            out[f"{level}.bo"] = quantise(bo[at], books["bo", level])
-        parents = keys
-    return out
+def _counter(folder: str, log: int):
+    """Writes the counts of the task's n-grams to a file of the shared folder, cut by shard, and yields where the pieces are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        path, held, size = f"{folder}/{os.urandom(8).hex()}", [], 0
+        with open(path, "xb") as f:
+
+            def flush() -> pa.RecordBatch:
+                u, v, w = (np.concatenate(x) for x in zip(*held))
+                rows = []
+                inner = v > 0  # the first word of a text has no context but its beginning
+                for level, ctx, word in ((1, w, np.zeros(len(w), U)), (2, v, w), (3, u[inner] << U(32) | v[inner], w[inner])):
+                    ctx, word, n = counted(level, ctx, word)
+                    part = (rank(level, ctx) >> U(64 - log)).astype(np.int64) if log else np.zeros(len(ctx), np.int64)
+                    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+                    for s, e in zip(cut, np.append(cut[1:], len(part)).astype(int)):
+                        data = _pack_counts(ctx[s:e], word[s:e], n[s:e])
+                        rows.append((level, int(part[s]), path, f.tell(), len(data)))
+                        f.write(data)
+                cols = list(zip(*rows))
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["level", "part", "file", "at", "size"])
+
+            for batch in batches:
+                for part in slices(batch):
+                    held.append(contexts(Words.of(part.column("text"))))
+                    size += len(held[-1][0])
+                    if size >= COUNTED:
+                        yield flush()
+                        held, size = [], 0
+            if size:
+                yield flush()
+
+    return run
+
+
+def merged(level: int, files: list[str], at: list[int], size: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of one shard."""
+    got, open_ = [], {}
+    try:
+        for name, a, n in zip(files, at, size):
+            if name not in open_:
+                if len(open_) >= 256:
+                    open_.pop(next(iter(open_))).close()
+                open_[name] = open(name, "rb")
+            open_[name].seek(a)
+            got.append(_unpack_counts(open_[name].read(n)))
+    finally:
+        for f in open_.values():
+            f.close()
+    return counted(level, *(np.concatenate(x) for x in zip(*got)))
+
+
+def _each_shard(pieces: DataFrame, level: int, tasks: int, work, schema: str) -> DataFrame:
+    """Rows of work(part, ctx, word, count) for each shard of a level."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole(batches, ("part",)):
+            part = t.column("part").to_numpy()
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for s, e in zip(cut, np.append(cut[1:], len(part))):
+                own = t.slice(s, e - s)
+                row = work(int(part[s]), *merged(level, *(own.column(n).to_pylist() for n in ("file", "at", "size"))))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, row))], pa.schema([(x.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[x.split()[1]]) for x in schema.split(", ")]))
+
+    return pieces.filter(F.col("level") == level).drop("level").repartition(tasks, "part").sortWithinPartitions("part", "file", "at").mapInArrow(run, schema)
+
+
+# --- files --------------------------------------------------------------------------------------------------------
 
 
 def quantise(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -302,148 +283,255 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
     return {name: whole[base + at : base + at + np.dtype(kind).itemsize * size].view(kind) for name, kind, size, at in head}
 
 
+# --- smoothing and trie -----------------------------------------------------------------------------------------
+
+
+def discount(n1: float, n2: float) -> float:
+    return min(0.95, n1 / (n1 + 2 * n2)) if n1 else 0.5
+
+
+def book(x: np.ndarray) -> np.ndarray:
+    """A codebook: all values where they are few, else half of it quantiles and half of it evenly spaced, so that rare values are near an entry too."""
+    u = np.unique(x.astype(np.float32))
+    if len(u) <= CODES:
+        return u
+    half = CODES // 2
+    return np.unique(np.concatenate([np.quantile(x, (np.arange(half) + 0.5) / half), np.linspace(u[0], u[-1], half)]).astype(np.float32))
+
+
+def coded(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """log10 of probabilities in 8 bits."""
+    x = np.log10(x).astype(np.float32)
+    b = book(x)
+    return {f"{name}.code": quantise(x, b), f"{name}.book": b}
+
+
+def smoothed(ctx: np.ndarray, c: np.ndarray, below: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each context, its back-off weight, probability of each n-gram); n-grams are in the order of their contexts."""
+    first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(ctx) else np.zeros(0, np.int64)
+    kinds = np.diff(np.append(first, len(ctx)))
+    total = np.add.reduceat(c, first) if len(first) else np.zeros(0, np.int64)
+    weight = d * kinds / np.maximum(total, 1)
+    return first, weight, np.maximum(c - d, 0) / np.repeat(total, kinds) + np.repeat(weight, kinds) * below
+
+
 @dataclass
 class Trie:
-    """Levels of n-grams in files by first byte, mapped where they are used."""
+    """Levels of n-grams in the shared folder, mapped where they are used.
+
+    Level 1 is the sorted vocabulary; a word's number is its place there. Level 2 is cut into ranges of first words: a bigram is the value
+    (first word, word) of an Elias-Fano sequence, and pointers, another one, say where each word's successors begin, so that a
+    word's rank among the successors of its context is its place less that pointer. Level 3 is cut by the hash of its contexts: a trigram is the value
+    (parent, rank of its word among the successors of its middle word). Parents are places in level 2, another sequence.
+    """
 
-    files: dict[int, str]
-    books: dict
-    unseen: float
-    order: int = ORDER
+    log: int
+    vocabulary: str | None
+    unseen: float = 1.0
+    words: int = 0
+    fan: int = 1
+    two: dict[int, tuple[str, int]] = field(default_factory=dict)  # file and first place of each range
+    three: dict[int, str] = field(default_factory=dict)
     _open: dict = field(default_factory=dict)
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def shard(self, byte: int):
-        if byte not in self._open:
-            path = self.files.get(byte)
-            if path is None:
-                self._open[byte] = None
-            else:
-                a = map_arrays(path)
-                ef = {(k, what): EliasFano({n: a[f"{k}.{what}.{n}"] for n in ("low", "high", "before", "meta")}) for k in range(2, self.order + 1) for what in ("value", "pointer")}
-                self._open[byte] = a, ef
-        return self._open[byte]
-
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each window (sorted and distinct) after the others."""
-        grams = {self.order: keys}
-        for k in range(self.order, 1, -1):
-            grams[k - 1] = distinct(np.concatenate([distinct(grams[k] >> U(8)), grams[k] & U(_mask(k - 1))]))
-        known = np.array(sorted(self.files), np.int64)
-        node = np.where(np.isin(grams[1].astype(np.int64), known), 0, -1)
-        rel = np.searchsorted(known, grams[1].astype(np.int64))
-        value, bo = np.full(len(node), np.log10(self.unseen)), np.zeros(len(node))
-        for i in np.flatnonzero(node == 0):
-            a, _ = self.shard(int(grams[1][i]))
-            value[i], bo[i] = self.books["p", 1][a["1.p"][0]], self.books["bo", 1][a["1.bo"][0]] if self.order > 1 else 0
-        for k in range(2, self.order + 1):
-            g = grams[k]
-            pre, suf = np.searchsorted(grams[k - 1], g >> U(8)), np.searchsorted(grams[k - 1], g & U(_mask(k - 1)))
-            new, new_rel, new_bo = np.full(len(g), -1, np.int64), np.zeros(len(g), np.int64), np.zeros(len(g))
-            new_value = bo[pre] + value[suf]
-            may = (node[pre] >= 0) & (node[suf] >= 0)
-            first = (g >> U(8 * (k - 1))).astype(np.int64)
-            edges = np.flatnonzero(np.append(True, first[1:] != first[:-1])) if len(g) else []
-            for s, e in zip(edges, np.append(edges[1:], len(g))):
-                at = np.flatnonzero(may[s:e]) + s
-                if not len(at):
-                    continue
-                a, ef = self.shard(int(first[s]))
-                found = ef[k, "value"].find(node[pre[at]].astype(U) * U(256) + rel[suf[at]].astype(U))
-                at, found = at[found >= 0], found[found >= 0]
-                new[at] = found
-                new_rel[at] = found - ef[k, "pointer"].access(node[pre[at]]).astype(np.int64)
-                new_value[at] = self.books["p", k][a[f"{k}.p"][found]]
-                if k < self.order:
-                    new_bo[at] = self.books["bo", k][a[f"{k}.bo"][found]]
-            node, rel, value, bo = new, new_rel, new_value, new_bo
-        return value
-
-
-def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> Trie:
+    def _file(self, path: str):
+        if path not in self._open:
+            if len(self._open) >= 1024:
+                self._open.pop(next(iter(self._open)))
+            a = map_arrays(path)
+            self._open[path] = a, {n: EliasFano({k: a[f"{n}.{k}"] for k in ("low", "high", "before", "meta")}) for n in {k.rpartition(".")[0] for k in a if k.endswith(".meta")}}
+        return self._open[path]
+
+    def _vocabulary(self):
+        if "words" not in self._open:
+            a, _ = self._file(self.vocabulary)
+            self._open["words"] = a["code"], a["p.book"][a["p.code"]].astype(np.float64), np.searchsorted(a["code"], np.arange(1 << self.log, dtype=np.int64) << (32 - self.log))
+        return self._open["words"]
+
+    def number(self, code: np.ndarray) -> np.ndarray:
+        """A word's place in the vocabulary, -1 where it isn't there."""
+        have = self._vocabulary()[0]
+        at = np.minimum(np.searchsorted(have, code.astype(np.uint32)), len(have) - 1)
+        return np.where(have[at] == code, at, -1)
+
+    def bigrams(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place in level 2 or -1, rank among v's successors, log10 probability, v's log10 back-off weight) for words by number, -1 for unknown ones."""
+        _, one, begins = self._vocabulary()
+        node, rel, bo = np.full(len(v), -1, np.int64), np.zeros(len(v), np.int64), np.zeros(len(v))
+        p = np.where(w >= 0, one[np.maximum(w, 0)], np.log10(self.unseen))
+        shard = np.where(v >= 0, np.searchsorted(begins, v, "right") - 1, -1)
+        by = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.append(True, shard[by][1:] != shard[by][:-1])) if len(by) else []
+        for s, e in zip(cut, np.append(cut[1:], len(by)).astype(int)):
+            at, part = by[s:e], int(shard[by[s]])
+            if part not in self.two:
+                continue
+            path, base = self.two[part]
+            a, ef = self._file(path)
+            own = v[at] - begins[part]
+            bo[at] = a["bo.book"][a["bo.code"][own]]
+            both = at[w[at] >= 0]
+            found = ef["value"].find((v[both] - begins[part]).astype(U) * U(self.words) + w[both].astype(U))
+            both, found = both[found >= 0], found[found >= 0]
+            node[both] = base + found
+            rel[both] = found - ef["pointer"].access(v[both] - begins[part]).astype(np.int64)
+            p[both] = a["p.book"][a["p.code"][found]]
+        return node, rel, np.where(node >= 0, p, p + bo), bo
+
+    def trigrams(self, ctx: np.ndarray, parent: np.ndarray, node: np.ndarray, rel: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """log10 probabilities. ctx: the codes of the context; parent: its place in level 2; node, rel, p: of the bigram that ends in the word."""
+        p = p.copy()
+        may = np.flatnonzero(parent >= 0)
+        shard = (rank(3, ctx[may]) >> U(64 - self.log)).astype(np.int64) if self.log else np.zeros(len(may), np.int64)
+        by = np.argsort(shard, kind="stable")
+        may, shard = may[by], shard[by]
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(may) else []
+        for s, e in zip(cut, np.append(cut[1:], len(may)).astype(int)):
+            if int(shard[s]) not in self.three:
+                continue
+            a, ef = self._file(self.three[int(shard[s])])
+            at = may[s:e]
+            up = ef["parent"].find(parent[at].astype(U))
+            at, up = at[up >= 0], up[up >= 0]
+            p[at] += a["bo.book"][a["bo.code"][up]]
+            also = node[at] >= 0
+            at, up = at[also], up[also]
+            found = ef["value"].find(up.astype(U) * U(self.fan) + rel[at].astype(U))
+            p[at[found >= 0]] = a["p.book"][a["p.code"][found[found >= 0]]]
+        return p
+
+    def score(self, words: Words) -> np.ndarray:
+        """log10 probability of each word of some texts."""
+        u, v, w = contexts(words)
+        if self.vocabulary is None:
+            return np.full(len(w), np.log10(self.unseen))
+        a, b = self.number(v), self.number(w)
+        node, rel, p, _ = self.bigrams(a, b)
+        parent = np.where(v > 0, np.append(-1, node[:-1]), -1) if len(w) else node
+        return self.trigrams(u << U(32) | v, parent, node, rel, p)
+
+
+def train(spark: SparkSession, docs: DataFrame, shard: int = SHARD) -> Trie:
     """Counts, smooths and writes the trie to the shared folder.
 
-    Windows are summed up in each task before they are shuffled. The discounts and a codebook of CODES quantiles for each level
-    reach the driver; the levels themselves are built on the executors, one file for each first byte.
+    Each task counts its n-grams by sorting and writes them, cut by shard, to one file of the shared folder; no n-gram is sent through the
+    driver or a Spark shuffle. A shard is merged and built by one task: its share of the vocabulary, of the bigrams or of the
+    trigrams, whose contexts are spread by hash, so that a word that everybody uses makes no large one: a context has as many rows as it has different successors. The driver gets the
+    discounts (from the numbers of n-grams that occur once and twice) and the files' names. The
+    vocabulary is put together by one task, 5 bytes a word.
     """
-    rows, unseen = smoothed(spark, docs, order)
-    rows = shared_table(spark, rows.withColumn("shard", F.expr("shiftright(g, 8 * (k - 1))").cast("int")), "trie")
-    at = F.array(*[F.lit((i + 0.5) / CODES) for i in range(CODES)])
-    books: dict = {}
-    for r in rows.groupBy("k").agg(F.percentile_approx("p", at, F.lit(2000)).alias("p"), F.percentile_approx("bo", at, F.lit(2000)).alias("bo")).collect():
-        books["p", r.k], books["bo", r.k] = np.unique(np.array(r.p, np.float32)), np.unique(np.array(r.bo, np.float32))
+    text = docs.filter(F.col("text").isNotNull()).select("text")
     folder = posix(f"{shared_dir(spark)}/trie-{os.urandom(6).hex()}")
-
-    def build(t: pa.Table) -> pa.Table:
-        os.makedirs(folder, exist_ok=True)
-        col = {n: t.column(n).to_numpy() for n in ("k", "g", "up", "p", "bo")}
-        byte = int(t.column("shard")[0].as_py())
-        path = f"{folder}/{byte}-{os.urandom(6).hex()}"
-        save_arrays(path, build_shard(**col, order=order, books=books))
-        return pa.table({"byte": pa.array([byte], pa.int32()), "path": [path]})
-
-    files = shared_table(spark, rows.groupBy("shard").applyInArrow(build, "byte int, path string"), "files")
-    return Trie({r.byte: r.path for r in files.collect()}, books, unseen, order)
-
-
-def _scorer(trie: Trie):
-    keys, values = np.zeros(0, U), np.zeros(0)
-
-    def scored(u: np.ndarray) -> np.ndarray:
-        """Values of sorted distinct windows; only those that this task hasn't met go to the trie."""
-        nonlocal keys, values
-        at = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
-        known = keys[at] == u if len(keys) else np.zeros(len(u), bool)
-        out = np.empty(len(u))
-        out[known] = values[at[known]]
-        new = u[~known]
-        if len(new):
-            out[~known] = trie.score(new)
-            if len(keys) + len(new) > REMEMBERED:
-                keys, values = new, out[~known]
-            else:
-                keys, values = np.concatenate([keys, new]), np.concatenate([values, out[~known]])
-                order = np.argsort(keys, kind="stable")
-                keys, values = keys[order], values[order]
-        return out
-
+    total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log = max(0, int(np.ceil(np.log2(max(1, total / shard)))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << log)
+    pieces = shared_table(spark, text.mapInArrow(_counter(folder, log), PIECES), "pieces")
+
+    def once_and_twice(part: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray):
+        first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+        return part, int((c == 1).sum()), int((c == 2).sum()), len(c), int(c.sum()), int(np.diff(np.append(first, len(c))).max())
+
+    def stats(level: int) -> tuple[float, int, int, int]:
+        r = _each_shard(pieces, level, tasks, once_and_twice, "part int, a bigint, b bigint, n bigint, total bigint, fan bigint").agg(F.sum("a"), F.sum("b"), F.sum("n"), F.sum("total"), F.max("fan")).first()
+        return discount(r[0] or 0, r[1] or 0), r[2] or 0, r[3] or 0, r[4] or 0
+
+    d1, words, running, _ = stats(1)
+    if not words:
+        return Trie(0, None)
+    words += 1  # and what is before a text
+    unseen = d1 * (words - 1) / running / words
+
+    def save(name: str, arrays: dict[str, np.ndarray]) -> str:
+        path = f"{folder}/{name}-{os.urandom(6).hex()}"
+        save_arrays(path, arrays)
+        return path
+
+    def level_one(part: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray):
+        return part, save(f"1.{part}", {"code": ctx.astype(np.uint32), "p": (np.maximum(c - d1, 0) / running + unseen)})
+
+    one = [r.path for r in sorted(_each_shard(pieces, 1, tasks, level_one, "part int, path string").collect())]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in batches):
+            parts = [map_arrays(p) for p in one]
+            p = np.concatenate([[unseen], *[x["p"] for x in parts]])
+            yield pa.RecordBatch.from_arrays([pa.array([save("vocabulary", {"code": np.concatenate([np.zeros(1, np.uint32), *[x["code"] for x in parts]]), **coded("p", p)})])], ["path"])
+
+    trie = Trie(log, spark.range(1).coalesce(1).mapInArrow(join, "path string").first().path, unseen, words)
+    d2, _, _, fan = stats(2)
+    trie.fan = fan + 1
+
+    def level_two(part: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray):
+        _, p, begins = trie._vocabulary()
+        lo, hi = int(begins[part]), int(begins[part + 1]) if part + 1 < len(begins) else words
+        a, b = trie.number(ctx) - lo, trie.number(w)
+        first, weight, q = smoothed(ctx, c, 10.0 ** p[b], d2)
+        bo = np.ones(hi - lo)
+        bo[a[first]] = weight
+        arrays = {f"value.{k}": x for k, x in elias_fano(a.astype(U) * U(words) + b.astype(U), max(1, hi - lo) * words).items()}
+        arrays |= {f"pointer.{k}": x for k, x in elias_fano(np.searchsorted(a, np.arange(hi - lo + 1)), len(a) + 1).items()}
+        return part, save(f"2.{part}", arrays | coded("p", q) | coded("bo", bo)), len(a)
+
+    base = 0
+    for r in sorted(_each_shard(pieces, 2, tasks, level_two, "part int, path string, n bigint").collect()):
+        trie.two[r.part] = r.path, base
+        base += r.n
+    d3, *_ = stats(3)
+
+    def level_three(part: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray):
+        first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+        u, v = trie.number(ctx[first] >> U(32)), trie.number(ctx[first] & U(0xFFFFFFFF))
+        parents = trie.bigrams(u, v)[0]
+        size = np.diff(np.append(first, len(ctx)))
+        by = np.argsort(parents)  # contexts in the order of level 2
+        at = np.repeat(first[by], size[by]) + np.arange(len(ctx)) - np.repeat(np.cumsum(size[by]) - size[by], size[by])
+        w, c, up = w[at], c[at], np.repeat(np.arange(len(by)), size[by])
+        _, rel, p, _ = trie.bigrams(np.repeat(v[by], size[by]), trie.number(w))
+        start, weight, q = smoothed(up, c, 10.0**p, d3)
+        value = up.astype(U) * U(trie.fan) + rel.astype(U)  # words are in the order of their numbers, so ranks rise within a parent
+        arrays = {f"parent.{k}": x for k, x in elias_fano(parents[by].astype(U), base + 1).items()}
+        arrays |= {f"value.{k}": x for k, x in elias_fano(value, len(by) * trie.fan).items()}
+        return part, save(f"3.{part}", arrays | coded("p", q) | coded("bo", weight))
+
+    trie.three = {r.part: r.path for r in _each_shard(pieces, 3, tasks, level_three, "part int, path string").collect()}
+    trie._open = {}
+    return trie
+
+
+def _scorer(trie: Trie, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text", BLOCK):
-                data, offsets = buffers(part.column("__text"))
-                total = np.zeros(part.num_rows)
-                for a, key in windows(data, offsets, trie.order):
-                    u, inverse = np.unique(key, return_inverse=True)
-                    value = scored(u)[inverse]
-                    rows = np.flatnonzero((offsets[1:] > a) & (offsets[:-1] < a + len(key)))
-                    rows = rows[np.diff(offsets)[rows] > 0]
-                    total[rows] += np.add.reduceat(value, np.maximum(offsets[rows] - a, 0))
-                n = np.diff(offsets)
-                with np.errstate(all="ignore"):
-                    ppl = 10.0 ** (-total / np.maximum(n, 1))
-                old = [(c, f) for c, f in zip(part.columns, part.schema.names) if f != "__text"]
-                yield pa.RecordBatch.from_arrays([c for c, _ in old] + [pa.array(n), pa.array(total), pa.array(ppl, mask=n == 0)], [f for _, f in old] + ["__n_bytes", "__log_prob", "__perplexity"])
+            for part in slices(batch, text, BLOCK):
+                words = Words(*buffers(part.column(text)))
+                total = np.append(0.0, np.cumsum(trie.score(words)))
+                n = np.diff(words.first)
+                total = np.where(n > 0, total[words.first[1:]] - total[words.first[:-1]], 0.0)
+                ppl = 10.0 ** np.minimum(300.0, -total / np.maximum(n, 1))
+                old = [(c, f) for c, f in zip(part.columns, part.schema.names) if f != text]
+                yield pa.RecordBatch.from_arrays([c for c, _ in old] + [pa.array(n), pa.array(total), pa.array(ppl, mask=n == 0)], [f for _, f in old] + ["__n_words", "__log_prob", "__perplexity"])
 
     return run
 
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
-    """docs with __n_bytes, __log_prob (base 10, of the whole text) and __perplexity (of a byte).
+    """docs with __n_words, __log_prob (base 10, of the whole text) and __perplexity (of a word).
 
-    A null or empty text has 0 bytes, the log probability 0 and a null perplexity. An n-gram that the corpus lacks
-    is scored by the next shorter one and the context's back-off; a byte that it lacks by the unseen mass. Repeated rows each get the
-    same score. With a trie of an empty corpus all bytes have the probability 1/256. Other columns pass unchanged; those
+    A null text and one without words have 0 words, the log probability 0 and a null perplexity. An n-gram that the corpus lacks
+    is scored by the next shorter one and the context's back-off weight; a word that it lacks by the unseen mass. Repeated rows each get the
+    same score. With a trie of an empty corpus all words have the probability 1. Texts may have any length. Other columns pass unchanged; those
     named like the new ones are replaced.
     """
-    keep = [c for c in docs.columns if c.lower() not in {"__n_bytes", "__log_prob", "__perplexity", "__text"}]
+    keep = [c for c in docs.columns if c.lower() not in {"__n_words", "__log_prob", "__perplexity"}]
+    text = fresh(docs, "__text")
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(_scorer(trie), fields + "__n_bytes bigint, __log_prob double, __perplexity double")
+    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(_scorer(trie, text), fields + "__n_words bigint, __log_prob double, __perplexity double")
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_bytes, log_prob, perplexity) of every document under the model of all documents."""
+    """(doc_id, n_words, log_prob, perplexity) of every document under the model of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = score(docs, train(spark, docs))
-    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_bytes", "log_prob", "perplexity")])
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("n_words", "log_prob", "perplexity")])
