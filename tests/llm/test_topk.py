@@ -39,3 +39,28 @@ def test_bounds_hold():
         b = np.square(topk.segment_stats(x, s) - topk.segment_stats(y, s)).sum(1)
         assert (b <= exact + 1e-9).all() and (b >= last - 1e-9).all()
         last = b
+
+
+def test_some_queries_against_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 32))
+    df = spark.createDataFrame([(i, v.tolist(), None, "d") for i, v in enumerate(x)], SCHEMA)
+    every = {(r.vec_id, r.rank, r.neighbor_id) for r in topk.top_k(spark, df, block=16).collect()}
+    got = {(r.vec_id, r.rank, r.neighbor_id) for r in topk.top_k(spark, df, block=16, queries=F.col("vec_id") % 50 == 0).collect()}
+    assert got == {r for r in every if r[0] % 50 == 0} and len(got) == 180
+
+
+def test_larger_boxes_lose_nothing():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(640, 32)) + np.repeat(rng.normal(size=(40, 32)) * 4, 16, 0)
+    parts = [(x[i : i + 16], np.arange(i, i + 16), [topk.segment_stats(x[i : i + 16], s) for s in topk.LEVELS]) for i in range(0, 640, 16)]
+    boxes = tuple(np.stack([f(p[2][topk.BOXES], 0) for p in parts]) for f in (np.min, np.max))
+    d = np.square(x[:, None] - x[None]).sum(2)
+    np.fill_diagonal(d, np.inf)
+    read = []
+    for wide in (1, 7, 64):
+        got, _ = topk.search_block(x[:32], np.arange(32), boxes, lambda j: read.append(j) or parts[j], 5, wide)
+        assert np.allclose(got, np.sort(d[:32], 1)[:, :5])
+    assert len(read) < 3 * 40  # some blocks are never read
