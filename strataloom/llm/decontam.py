@@ -138,8 +138,8 @@ def _matcher(tests: Tests):
                 begin = w.first[:-1] + np.arange(n)
                 doc = np.searchsorted(begin, p, "right") - 1
                 item = tests.item[q]
-                best = np.lexsort((p, q, item, -size, doc))
-                best = best[np.append(True, doc[best][1:] != doc[best][:-1])]
+                best = np.lexsort((p, q, -size, item, doc))
+                best = best[np.append(True, (doc[best][1:] != doc[best][:-1]) | (item[best][1:] != item[best][:-1]))]
                 doc, item = doc[best], item[best]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -175,13 +175,13 @@ SCHEMA = "item_id bigint, match_words int, doc_word int, item_word int, doc_word
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, match_words, doc_word, item_word, doc_words): for each affected document its longest verbatim match.
+    """(doc_id, item_id, match_words, doc_word, item_word, doc_words): for each affected document and each item that it has a passage of, their longest verbatim match.
 
     Words are compared without case and punctuation. A document is affected where it shares min_words consecutive
     words with an item, or all of an item of SHORTEST to min_words words; shorter items are left out.
-    Ties: the least item_id, then the first place in the item, then in the document; doc_word and item_word count
-    from 0. A null doc_id is reported with a null; null texts have no words; repeated rows are reported
-    once for each different match; empty tables give an empty result.
+    Ties: the first place in the item, then in the document; doc_word and item_word count
+    from 0. A null doc_id is reported with a null; null texts have no words; repeated rows and rows of one doc_id are one
+    document, as are items of one item_id; empty tables give an empty result. Both ids must be integers.
 
     Each task builds suffix arrays over shards of SHARD_BYTES of its texts and looks up all suffixes of the
     benchmark at once, narrowing their intervals word by word. Nothing is shuffled but the matches. The benchmark travels with the
@@ -194,9 +194,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, min
         out = part if out is None else out.union(part)
     if out is None:
         out = spark.createDataFrame([], f"row bigint, {SCHEMA}")
-    rank = F.struct((-F.col("match_words")).alias("m"), "item_id", "item_word", "doc_word", "match_words", "doc_words")
-    best = out.groupBy("row").agg(F.min(rank).alias("b"))
-    return best.select(F.col("row").alias("doc_id"), "b.item_id", "b.match_words", "b.doc_word", "b.item_word", "b.doc_words")
+    rank = F.struct((-F.col("match_words")).alias("m"), "item_word", "doc_word", "match_words", "doc_words")
+    best = out.groupBy("row", "item_id").agg(F.min(rank).alias("b"))
+    return best.select(F.col("row").alias("doc_id"), "item_id", "b.match_words", "b.doc_word", "b.item_word", "b.doc_words")
 
 
 def _dropper(tests: Tests, columns: list[str]):
@@ -236,7 +236,11 @@ dw AS (SELECT doc_id, pos, n, string_agg(word, ' ') OVER o AS g FROM w WINDOW o
 bw AS (SELECT item_id, pos, string_agg(word, ' ') OVER o AS g FROM b WINDOW o AS (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) QUALIFY pos + 10 <= n),
 m AS (SELECT dw.doc_id, bw.item_id, dw.pos AS dp, bw.pos AS bp, dw.n FROM dw JOIN bw USING (g)),
 runs AS (SELECT *, dp - row_number() OVER (PARTITION BY doc_id, item_id, dp - bp ORDER BY dp) AS run FROM m),
-best AS (SELECT doc_id, item_id, CAST(count(*) + 9 AS INTEGER) AS match_words, min(dp) AS dp, min(bp) AS bp, any_value(n) AS n FROM runs GROUP BY doc_id, item_id, dp - bp, run)
-SELECT doc_id, item_id, match_words, CAST(dp AS INTEGER) AS doc_word, CAST(bp AS INTEGER) AS item_word, CAST(n AS INTEGER) AS doc_words
-FROM best QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY match_words DESC, item_id, bp, dp) = 1
+long AS (SELECT doc_id, item_id, count(*) + 9 AS match_words, min(dp) AS dp, min(bp) AS bp, any_value(n) AS n FROM runs GROUP BY doc_id, item_id, dp - bp, run),
+si AS (SELECT item_id, count(*) AS n, ' ' || string_agg(word, ' ' ORDER BY pos) || ' ' AS t FROM b WHERE n BETWEEN 5 AND 9 GROUP BY item_id),
+sd AS (SELECT doc_id, count(*) AS n, ' ' || string_agg(word, ' ' ORDER BY pos) || ' ' AS t FROM w WHERE EXISTS (SELECT 1 FROM si) GROUP BY doc_id),
+short AS (SELECT doc_id, item_id, si.n AS match_words, len(string_split(substr(sd.t, 1, strpos(sd.t, si.t)), ' ')) - 2 AS dp, 0 AS bp, sd.n AS n FROM sd JOIN si ON contains(sd.t, si.t)),
+best AS (SELECT * FROM long UNION ALL SELECT * FROM short)
+SELECT doc_id, item_id, CAST(match_words AS INTEGER) AS match_words, CAST(dp AS INTEGER) AS doc_word, CAST(bp AS INTEGER) AS item_word, CAST(n AS INTEGER) AS doc_words
+FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY match_words DESC, bp, dp) = 1
 """
