@@ -55,3 +55,28 @@ def test_expectation_maximisation_recovers_reliabilities():
     m = pii.expectation_maximisation([("email", p, c) for p, c in sorted(counts.items())])
     assert m.prior["email"] == pytest.approx(0.6, abs=0.04)
     assert m.chance[:, 1, 2] == pytest.approx(good, abs=0.05)
+
+
+def test_same_model_at_every_size():
+    """Counts of patterns as in a corpus where hardly any candidate is false, a thousand times over."""
+    rng = np.random.default_rng(5)
+    counts = {}
+    for kind, n in (("email", 300), ("card", 250), ("phone", 200), ("ip", 150), ("secret", 120)):
+        for _ in range(n):
+            false = rng.random() < 0.01
+            chance = [0.7, 0.2, 0.1] if false else [0.03, 0.25 if kind in ("ip", "card") else 0.1, 0]
+            pattern = "".join("-" if x < chance[0] else "0" if x < chance[0] + chance[1] else "+" for x in rng.random(6))
+            counts[kind, pattern] = counts.get((kind, pattern), 0) + 1
+    accepted = []
+    for times in (1, 10, 30, 100, 1000):
+        m = pii.expectation_maximisation([(k, p, c * times) for (k, p), c in sorted(counts.items())])
+        accepted.append({g for g in counts if m.posterior(*g) >= 0.5})
+        assert min(m.prior[k] for k in ("email", "card", "phone", "ip", "secret")) > 0.8
+    assert all(a == accepted[0] for a in accepted)
+    assert sum(counts[g] for g in accepted[0]) > 0.97 * sum(counts.values())
+
+
+@pytest.mark.parametrize("span", ["+15551234567", "(030) 12345678", "0151 23456789", "+49 151 23456789", "+33 6 12 34 56 78", "+1 (555) 555-5657", "555-123-4567"])
+def test_forms_of_phone_numbers(span):
+    got = [(k, s, e, v[0]) for k, s, e, v, _ in pii.candidates(f"call {span} now")]
+    assert got == [("phone", 5, 5 + len(span), 1)]
