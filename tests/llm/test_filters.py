@@ -189,7 +189,7 @@ def test_decontamination(spark):
             a = rng.randrange(len(t))
             w[3:3] = [x.upper() + "," for x in t[a : a + rng.randrange(3, 25)]]
             if rng.random() < 0.5:
-                w += rng.choice(items[:12])[1].split() + w[:3]
+                w += " ".join(x for _, x in rng.sample(items[:12], 2)).split() + w[:3]
         docs.append((i, " ".join(w), None, None))
     docs += [(100, None, None, None), (101, "", None, None), (None, items[2][1], None, None), (7, docs[7][1], None, None), (102, "pad " * 50_000 + items[3][1], None, None)]
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, __row string")
