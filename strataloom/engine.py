@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions.cursors import decode_cursor, encode_cursor, fingerprint
 from .functions.text import token_estimate
 from .operators import aggregate, capsule, change, graph, retrieval, search
+from .schemas import DOCUMENT
 from .sources.store import Store
 
 
@@ -21,22 +22,44 @@ class Engine:
             raise LookupError("there is no complete snapshot")
         return self.store.read(name, s)
 
-    def build(self, snapshot_id: str, symbols: DataFrame, raw_edges: DataFrame, nodes: DataFrame | None = None, keep: int = 3, **facts: DataFrame) -> dict:
-        """Edges are deduplicated and those without both ends dropped; then all is published and old snapshots go."""
+    def _publish(self, snapshot_id: str, symbols: DataFrame, raw_edges: DataFrame, nodes: DataFrame | None, keep: int, facts: dict[str, DataFrame]) -> dict:
         known = symbols.select("symbol_id") if nodes is None else symbols.select("symbol_id").union(nodes.select("symbol_id")).distinct()
         kept, dropped = graph.split_orphans(graph.edge_dedup(raw_edges), known)
-        m = self.store.publish(snapshot_id, self.workspace, {"symbols": symbols, "raw_edges": raw_edges, "edges": kept, **facts}, dropped={r.dropped: r.edges for r in graph.orphan_summary(dropped).collect()})
+        tables = {"symbols": symbols, "raw_edges": raw_edges, "edges": kept, **({} if nodes is None else {"nodes": nodes.select("symbol_id")}), **facts}
+        m = self.store.publish(snapshot_id, self.workspace, tables, dropped={r.dropped: r.edges for r in graph.orphan_summary(dropped).collect()})
         self.store.prune(keep)
         return m
 
-    def refresh(self, snapshot_id: str, symbols: DataFrame, scope: DataFrame, raw_edges: DataFrame, **facts: DataFrame) -> dict:
+    def build(self, snapshot_id: str, symbols: DataFrame, raw_edges: DataFrame, nodes: DataFrame | None = None, keep: int = 3, **facts: DataFrame) -> dict:
+        """Edges are deduplicated and those without both ends dropped; then all is published and old snapshots go.
+
+        nodes (symbol_id): ends of edges that no declaration has, like routes.
+        """
+        return self._publish(snapshot_id, symbols, raw_edges, nodes, keep, facts)
+
+    def refresh(self, snapshot_id: str, symbols: DataFrame, scope: DataFrame, raw_edges: DataFrame, nodes: DataFrame | None = None, keep: int = 3, **facts: DataFrame) -> dict:
         """As a build of all, from the former snapshot and what was extracted anew for the documents in scope (doc).
 
-        The edges before deduplication are kept with the snapshot, so an edge whose best evidence goes falls back on the next best.
+        The edges before deduplication are kept with the snapshot, so an edge whose best evidence goes falls back on the next best. Facts that belong to documents
+        are copied forward but for those of the scope, in whose place the given ones come; other tables are copied whole unless they are
+        given. Synthetic nodes of the former snapshot stay, and those given are added.
         """
-        raw = change.refresh_edges(self.table("raw_edges"), scope, raw_edges)
-        kept, _ = graph.split_orphans(graph.edge_dedup(raw), symbols.select("symbol_id"))
-        return self.store.publish(snapshot_id, self.workspace, {"symbols": symbols, "raw_edges": raw, "edges": kept, **facts})
+        last = self.store.latest(self.workspace)
+        if last is None:
+            return self._publish(snapshot_id, symbols, raw_edges, nodes, keep, facts)
+        former = {t: self.store.read(t, last["snapshot_id"]) for t in last["tables"]}
+        known = former.pop("nodes", None)
+        if known is not None and nodes is not None:
+            nodes = known.union(nodes.select("symbol_id")).distinct()
+        raw = change.refresh_edges(former["raw_edges"], scope, raw_edges)
+        carried = {}
+        for t, df in former.items():
+            if t in DOCUMENT and t not in {"symbols", "raw_edges", "edges"}:
+                rest = change.retire(df, scope, DOCUMENT[t])
+                carried[t] = rest.unionByName(facts[t].select(*rest.columns)) if t in facts else rest
+            elif t not in {"symbols", "raw_edges", "edges"}:
+                carried[t] = facts.get(t, df)
+        return self._publish(snapshot_id, symbols, raw, known if nodes is None else nodes, keep, facts | carried)
 
     def impact(self, symbol: str, downstream: bool = True, kinds: list[str] | None = None, max_depth: int = 3, max_paths: int = 50, cursor: str | None = None) -> dict:
         """Groups of all paths, one page of them, how many are left and where the next page begins."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import KEY, by_kind, reachable
+from .graph import KEY, by_kind, edge_dedup, reachable
 
 ALIVE = ["Calls", "References", "Overrides", "Implements", "Registers"]
 
@@ -208,6 +208,17 @@ def refresh_edges(previous: DataFrame, scope: DataFrame, derived: DataFrame) ->
     return retire(previous, scope, "doc").unionByName(derived.join(scope.select("doc").distinct(), "doc", "left_semi").select(*previous.columns))
 
 
+def refresh_deduplicated(previous: DataFrame, raw: DataFrame, scope: DataFrame) -> DataFrame:
+    """The deduplicated edges `previous`, after the evidence of the documents in scope (doc) has changed to what `raw` has of it.
+
+    Edges that such a document has, or had, evidence of are deduplicated again, over all their evidence; the others are taken as they are.
+    """
+    key, docs = ["src", "dst", "kind"], scope.select("doc").distinct()
+    touched = raw.join(docs, "doc", "left_semi").select(*key).union(previous.join(docs, "doc", "left_semi").select(*key)).distinct()
+    anew = edge_dedup(raw.join(touched, key, "left_semi").select(*raw.columns))
+    return previous.join(touched, key, "left_anti").select(*previous.columns).unionByName(anew.select(*previous.columns))
+
+
 def prune_removed_symbols(symbols: DataFrame, declared: DataFrame) -> DataFrame:
     """Symbols that no declaration is left of."""
     return symbols.select("symbol_id").join(declared.select("symbol_id").distinct(), "symbol_id", "left_anti")

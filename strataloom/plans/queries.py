@@ -64,7 +64,7 @@ ALIVE = "('Calls', 'References', 'Overrides', 'Implements', 'Registers')"
 # --- scans ------------------------------------------------------------------------------------------------------
 
 query("scan_edges", "edges", f"SELECT {EDGE} FROM edges")(lambda t: t.edges)
-query("edge_dedup", "edges", f"SELECT {EDGE} FROM edges WHERE kind IN ('Calls', 'Registers')")(lambda t: graph.edge_dedup(graph.by_kind(t.raw_edges, ["Calls", "Registers"])))
+query("edge_dedup", "edges", f"SELECT {EDGE} FROM edges")(lambda t: graph.edge_dedup(t.raw_edges))
 query("scan_edges_touching", "edges", f"SELECT {EDGE} FROM edges WHERE src = '{PART}' OR dst = '{PART}'")(lambda t: graph.edge_dedup(graph.touching(t.raw_edges, PART)))
 query("scan_edges_by_kind", "edges", f"SELECT {EDGE} FROM edges WHERE kind = 'Registers'")(lambda t: graph.edge_dedup(graph.by_kind(t.raw_edges, ["Registers"])))
 query("neighbors_in", "edges", f"SELECT {EDGE} FROM edges WHERE dst = '{SUPP}'")(lambda t: graph.edge_dedup(graph.neighbors_in(t.raw_edges, SUPP)))
@@ -91,9 +91,9 @@ def _(t):
     return t.docs.withColumn("raw", raw).select("path", F.sha2(fx.normalize_bytes("raw"), 256).alias("h"))
 
 
-IGNORE = ["*.g.cs", "de/**", "!de/src1?/", "src7/", "fr/src[0-9]/x"]
+IGNORE = ["*.g.cs", "de/**", "!de/src1?/", "src7/"]
 query("scan_ignore_filter", "docs", r"SELECT path FROM docs WHERE NOT (CASE WHEN regexp_matches(path, '(^|/)src7/') THEN true WHEN regexp_matches(path, '^de/src1[^/]/') THEN false WHEN regexp_matches(path, '^de/.*') THEN true WHEN regexp_matches(path, '(^|/)[^/]*\.g\.cs(/|$)') THEN true ELSE false END)")(
-    lambda t: t.docs.filter(~fx.is_ignored("path", IGNORE[:4])).select("path"))
+    lambda t: t.docs.filter(~fx.is_ignored("path", IGNORE)).select("path"))
 query("scan_build_output_filter", "docs", "SELECT path FROM docs WHERE project NOT IN ('src3', 'src5')")(
     lambda t: t.docs.withColumn("p", F.concat(F.when(F.col("project") == "src3", "a/obj/").when(F.col("project") == "src5", "Bin/").otherwise("a/objx/"), "path")).filter(~fx.is_build_output("p")).select("path"))
 query("scan_generated_flag", "docs", "SELECT path, path LIKE '%.g.cs' AS generated FROM docs")(lambda t: t.docs.select("path", fx.is_generated("path", "content").alias("generated")))
@@ -210,8 +210,8 @@ query("reachable", "edges", _reach("SELECT node, depth FROM r", CUST, "src", "ds
 query("with_declared_members", "raw_edges symbols", "SELECT symbol_id, symbol_id AS member FROM symbols UNION ALL SELECT DISTINCT src, dst FROM raw_edges WHERE kind = 'Declares'")(lambda t: graph.with_declared_members(graph.by_kind(t.edges, ["Declares"]), t.symbols))
 _CLOSURE = ", up AS (SELECT DISTINCT src, dst FROM raw_edges WHERE kind IN ('Implements', 'Inherits')), cl AS (SELECT src, dst FROM up UNION SELECT a.src, b.dst FROM up a JOIN up b ON a.dst = b.src UNION SELECT symbol_id, symbol_id FROM symbols)"
 query("is_assignable", "raw_edges symbols", _CLOSURE + " SELECT src, dst FROM cl")(lambda t: graph.is_assignable(t.raw_edges, t.symbols))
-query("receiver_compatible", "raw_edges symbols", _CLOSURE + " SELECT symbol_id AS id, EXISTS (SELECT 1 FROM cl WHERE cl.src = symbol_id AND cl.dst = 'T:region.1|geo') OR (EXISTS (SELECT 1 FROM cl WHERE cl.src = symbol_id AND cl.dst = 'T:region.2|geo') AND EXISTS (SELECT 1 FROM cl WHERE cl.src = symbol_id AND cl.dst = 'T:nation.8|geo')) AS ok FROM symbols WHERE assembly = 'crm'")(
-    lambda t: graph.receiver_compatible(graph.is_assignable(t.raw_edges, t.symbols), t.symbols.filter("assembly = 'crm'").select(F.col("symbol_id").alias("id"), F.col("symbol_id").alias("type"), F.array(F.array(F.lit("T:region.1|geo")), F.array(F.lit("T:region.2|geo"), F.lit("T:nation.8|geo"))).alias("alternatives"))))
+query("receiver_compatible", "raw_edges symbols", _CLOSURE + " SELECT symbol_id AS id, EXISTS (SELECT 1 FROM cl WHERE cl.src = symbol_id AND cl.dst = 'T:region.1|geo') OR (EXISTS (SELECT 1 FROM cl WHERE cl.src = symbol_id AND cl.dst = 'T:region.2|geo') AND EXISTS (SELECT 1 FROM cl WHERE cl.src = symbol_id AND cl.dst = 'T:nation.8|geo')) AS ok FROM symbols")(
+    lambda t: graph.receiver_compatible(graph.is_assignable(t.raw_edges, t.symbols), t.symbols.select(F.col("symbol_id").alias("id"), F.col("symbol_id").alias("type"), F.array(F.array(F.lit("T:region.1|geo")), F.array(F.lit("T:region.2|geo"), F.lit("T:nation.8|geo"))).alias("alternatives"))))
 _known = "known AS (SELECT symbol_id FROM symbols WHERE symbol_id NOT LIKE '%3|%')"
 _orph = f", {_known}, j AS (SELECT e.*, a.symbol_id IS NOT NULL AS sa, b.symbol_id IS NOT NULL AS sb FROM edges e LEFT JOIN known a ON e.src = a.symbol_id LEFT JOIN known b ON e.dst = b.symbol_id)"
 _nodes = lambda t: t.symbols.filter("symbol_id NOT LIKE '%3|%'")
@@ -221,8 +221,8 @@ query("project_closure", "", "WITH RECURSIVE r AS (SELECT 'src3' AS project UNIO
     lambda t: graph.project_closure(t.documents.select(F.col("lang").alias("project"), F.col("source").alias("referenced")).distinct(), t.spark.createDataFrame([("src3",)], "project string")))
 query("reverse_doc_closure", "raw_edges symbols", ", decl AS (SELECT DISTINCT dst AS symbol_id, doc AS path FROM raw_edges WHERE kind = 'Declares' AND doc IS NOT NULL), s AS (SELECT DISTINCT e.doc AS a, d.path AS b FROM raw_edges e JOIN decl d ON e.dst = d.symbol_id WHERE e.doc IS NOT NULL), r AS (SELECT 'crm/1.cs' AS path UNION SELECT s.a FROM s JOIN r ON s.b = r.path) SELECT path FROM r")(
     lambda t: graph.reverse_doc_closure(t.raw_edges, t.raw_edges.filter("kind = 'Declares' AND doc IS NOT NULL").select(F.col("dst").alias("symbol_id"), F.col("doc").alias("path")).distinct(), t.spark.createDataFrame([("crm/1.cs",)], "path string"), ratio=10.0)[0])
-query("fqn_of_endpoint", "edges symbols", "SELECT e.src, e.dst, e.kind, s.fqn AS src_fqn, d.fqn AS dst_fqn FROM edges e LEFT JOIN symbols s ON e.src = s.symbol_id LEFT JOIN symbols d ON e.dst = d.symbol_id WHERE e.kind = 'Registers'")(
-    lambda t: graph.edge_dedup(graph.by_kind(t.raw_edges, ["Registers"])).select("src", "dst", "kind").join(t.symbols.select(F.col("symbol_id").alias("a"), F.col("fqn").alias("src_fqn")), F.col("src") == F.col("a"), "left").join(t.symbols.select(F.col("symbol_id").alias("b"), F.col("fqn").alias("dst_fqn")), F.col("dst") == F.col("b"), "left").drop("a", "b"))
+query("fqn_of_endpoint", "edges symbols", "SELECT e.src, e.dst, e.kind, s.fqn AS src_fqn, d.fqn AS dst_fqn FROM edges e LEFT JOIN symbols s ON e.src = s.symbol_id LEFT JOIN symbols d ON e.dst = d.symbol_id")(
+    lambda t: graph.edge_dedup(t.raw_edges).select("src", "dst", "kind").join(t.symbols.select(F.col("symbol_id").alias("a"), F.col("fqn").alias("src_fqn")), F.col("src") == F.col("a"), "left").join(t.symbols.select(F.col("symbol_id").alias("b"), F.col("fqn").alias("dst_fqn")), F.col("dst") == F.col("b"), "left").drop("a", "b"))
 
 # --- aggregates -------------------------------------------------------------------------------------------------
 
@@ -262,19 +262,19 @@ def _edges_ab(t):
 _DIFF = f", {_EB}, j AS (SELECT coalesce(ea.src, eb.src) AS src, coalesce(ea.dst, eb.dst) AS dst, coalesce(ea.kind, eb.kind) AS kind, ea.src IS NULL AS isnew, eb.src IS NULL AS isgone, ea.provenance <> eb.provenance AS ev, ea.line IS DISTINCT FROM eb.line AS lo FROM ea FULL JOIN eb ON ea.src = eb.src AND ea.dst = eb.dst AND ea.kind = eb.kind), diff AS (SELECT src, dst, kind, 'added' AS change FROM j WHERE isnew UNION ALL SELECT src, dst, kind, 'removed' FROM j WHERE isgone UNION ALL SELECT src, dst, kind, 'evidence_changed' FROM j WHERE NOT isnew AND NOT isgone AND ev UNION ALL SELECT src, dst, kind, 'location_changed' FROM j WHERE NOT isnew AND NOT isgone AND lo)"
 query("diff_edges", "edges", _DIFF + " SELECT * FROM diff")(lambda t: change.diff_edges(*_edges_ab(t)))
 query("diff_scoped", "edges symbols", _DIFF + " SELECT * FROM diff WHERE src LIKE 'T:cust.%' OR dst LIKE 'T:cust.%'")(lambda t: change.diff_scoped(change.diff_edges(*_edges_ab(t)), t.symbols.filter("assembly = 'crm'")))
-query("match_transitions", "symbols", ", x AS (SELECT symbol_id, kind, assembly, fqn, coalesce(accessibility, '') || fqn AS fp FROM symbols WHERE assembly = 'crm') SELECT min(symbol_id) AS old, min(symbol_id) || 'n' AS new, 'rename_and_move' AS transition FROM x GROUP BY kind, assembly, fp HAVING count(*) = 1")(
-    lambda t: change.match_transitions(*[t.symbols.filter("assembly = 'crm'").select(i, "kind", "assembly", n, F.concat(F.coalesce("accessibility", F.lit("")), "fqn").alias("fingerprint")) for i, n in ((F.col("symbol_id"), F.col("fqn")), (F.concat("symbol_id", F.lit("n")).alias("symbol_id"), F.concat(F.lit("new."), "fqn", F.lit("n")).alias("fqn")))]))
+query("match_transitions", "symbols", ", x AS (SELECT symbol_id, kind, assembly, fqn, coalesce(accessibility, '') || fqn AS fp FROM symbols) SELECT min(symbol_id) AS old, min(symbol_id) || 'n' AS new, 'rename_and_move' AS transition FROM x GROUP BY kind, assembly, fp HAVING count(*) = 1")(
+    lambda t: change.match_transitions(*[t.symbols.select(i, "kind", "assembly", n, F.concat(F.coalesce("accessibility", F.lit("")), "fqn").alias("fingerprint")) for i, n in ((F.col("symbol_id"), F.col("fqn")), (F.concat("symbol_id", F.lit("n")).alias("symbol_id"), F.concat(F.lit("new."), "fqn", F.lit("n")).alias("fqn")))]))
 
 # --- what-ifs and audits ----------------------------------------------------------------------------------------
 
 _mem = lambda s, a="": f"(dst = '{s}' OR dst IN (SELECT dst FROM edges WHERE kind = 'Declares' AND src = '{s}'))"
 query("simulate_rename", "edges", f"SELECT DISTINCT src AS affected, kind, doc, line FROM edges WHERE kind IN {ALIVE} AND {_mem(SUPP)}")(lambda t: change.simulate_rename(t.edges, SUPP))
 query("simulate_move", "edges", f"SELECT DISTINCT src AS affected, kind, doc, line FROM edges WHERE kind IN {ALIVE} AND {_mem(NATION)}")(lambda t: change.simulate_move(t.edges, NATION))
-query("simulate_remove", "edges", _reach(f"SELECT node AS affected, depth FROM r WHERE depth > 0 AND node NOT IN (SELECT dst FROM edges WHERE kind IN ('Registers', 'TestedBy', 'Implements') AND src = '{NATION}')", NATION, "dst", "src", 3))(lambda t: change.simulate_remove(t.raw_edges, NATION, 3))
+query("simulate_remove", "edges", _reach(f"SELECT node AS affected, depth FROM r WHERE depth > 0 AND node NOT IN (SELECT dst FROM edges WHERE kind IN ('Registers', 'TestedBy', 'Implements') AND src = '{NATION}')", NATION, "dst", "src", 10))(lambda t: change.simulate_remove(t.raw_edges, NATION))
 _USED = f"used AS (SELECT DISTINCT dst AS s FROM raw_edges WHERE kind IN {ALIVE})"
 query("audit_dead", "raw_edges symbols", f", {_USED} SELECT symbol_id FROM symbols WHERE symbol_id NOT IN (SELECT s FROM used) AND symbol_id NOT IN (SELECT src FROM raw_edges WHERE kind = 'Declares' AND src LIKE 'T:%' AND dst IN (SELECT s FROM used))")(lambda t: change.audit_dead(t.raw_edges, t.symbols))
 query("audit_untested", "raw_edges symbols", "SELECT symbol_id FROM symbols WHERE accessibility IN ('Public', 'Internal') AND symbol_id NOT IN (SELECT src FROM raw_edges WHERE kind = 'TestedBy') AND symbol_id NOT IN (SELECT dst FROM raw_edges WHERE kind = 'Declares' AND src IN (SELECT src FROM raw_edges WHERE kind = 'TestedBy'))")(lambda t: change.audit_untested(t.raw_edges, t.symbols))
-query("audit_unregistered", "edges symbols", "SELECT src, dst FROM edges WHERE kind = 'Implements' AND src IN (SELECT symbol_id FROM symbols WHERE type_kind = 'Class' AND NOT is_abstract) AND src NOT IN (SELECT dst FROM edges WHERE kind = 'Registers')")(lambda t: change.audit_unregistered(t.edges, t.symbols))
+query("audit_unregistered", "edges symbols", ", r AS MATERIALIZED (SELECT DISTINCT dst FROM edges WHERE kind = 'Registers') SELECT e.src, e.dst FROM edges e JOIN symbols s ON s.symbol_id = e.src LEFT JOIN r ON r.dst = e.src WHERE e.kind = 'Implements' AND s.type_kind = 'Class' AND NOT s.is_abstract AND r.dst IS NULL")(lambda t: change.audit_unregistered(t.edges, t.symbols))
 
 # --- freshness and upkeep ---------------------------------------------------------------------------------------
 
@@ -294,11 +294,18 @@ query("freshness_full", "docs", "SELECT 'sdk_mismatch' AS mismatch, NULL AS path
 query("delete_by_documents", "edges", f"SELECT {EDGE} FROM edges WHERE doc IS NULL OR doc NOT IN (SELECT DISTINCT doc FROM edges WHERE doc LIKE 'crm/1%')")(lambda t: change.retire(t.edges, t.raw_edges.filter("doc LIKE 'crm/1%'").select("doc").distinct(), "doc"))
 query("delete_null_path_by_assembly", "edges", f"SELECT {EDGE} FROM edges WHERE NOT (doc IS NULL AND split_part(src, '|', 2) = 'inv')")(lambda t: change.retire_null_path(t.edges, ["inv"]))
 query("delete_by_project", "diagnostics", "SELECT seq, project FROM diagnostics WHERE project NOT IN ('src1', 'src9')")(lambda t: change.retire(t.diagnostics.select("seq", "project"), t.spark.createDataFrame([("src1",), ("src9",)], "p string"), "project"))
-query("incremental_edges", "edges", f"SELECT {EDGE} FROM edges")(
-    lambda t: change.refresh_edges(t.edges.withColumn("provenance", F.when(F.col("doc").like("crm/2%"), "possible").otherwise(F.col("provenance"))), t.raw_edges.filter("doc LIKE 'crm/2%'").select("doc").distinct(), t.edges))
+@query("incremental_edges", "edges", f"SELECT {EDGE} FROM edges")
+def _incremental(t: Tables) -> DataFrame:
+    """The edges of a stored snapshot whose documents crm/2… were out of date, after these are derived anew: only edges that such a document has evidence of are deduplicated again."""
+    scope = t.raw_edges.filter("doc LIKE 'crm/2%'").select("doc").distinct()
+    stale = t.edges.withColumn("provenance", F.when(F.col("doc").like("crm/2%"), "possible").otherwise(F.col("provenance")))
+    return change.refresh_deduplicated(stale, t.raw_edges, scope)
+
+
 query("prune_removed_symbols", "symbols decls", "SELECT symbol_id FROM symbols WHERE symbol_id NOT IN (SELECT 'T:cust.' || CAST(conv_id AS VARCHAR) || '|crm' FROM decls)")(lambda t: change.prune_removed_symbols(t.symbols, t.turns.select(F.concat(F.lit("T:cust."), F.col("conv_id").cast("string"), F.lit("|crm")).alias("symbol_id"))))
-query("last_wins_upsert", "", "SELECT user_id, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) x WHERE rn = 1")(
-    lambda t: change.last_wins(t.events.filter("event_id % 2 = 0").select("user_id", F.col("event_id").alias("seq"), "value").limit(0), t.events.select("user_id", F.col("event_id").alias("seq"), "value"), ["user_id"]))
+_last = "SELECT user_id, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_type {}) x WHERE rn = 1"
+query("last_wins_upsert", "", f"WITH old AS ({_last.format("<> 'purchase'")}), new AS ({_last.format("= 'purchase'")}) SELECT * FROM new UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.user_id = old.user_id)")(
+    lambda t: (lambda e: change.last_wins(change.last_wins(e.filter("false").drop("event_type"), e.filter("event_type <> 'purchase'").drop("event_type"), ["user_id"]), e.filter("event_type = 'purchase'").drop("event_type"), ["user_id"]))(t.events.select("user_id", F.col("event_id").alias("seq"), "value", "event_type")))
 query("first_wins_insert", "", "SELECT user_id, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) x WHERE rn = 1")(lambda t: change.first_wins(t.events.select("user_id", F.col("event_id").alias("seq"), "value"), ["user_id"]))
 query("upsert_extractors", "", "SELECT DISTINCT source AS name, CASE WHEN lang = 'de' THEN '2' ELSE '1' END AS version FROM documents WHERE lang = 'de' OR source NOT IN (SELECT source FROM documents WHERE lang = 'de')")(
     lambda t: change.upsert_extractors(t.documents.select(F.col("source").alias("name"), F.lit("1").alias("version")).distinct(), t.documents.filter("lang = 'de'").select(F.col("source").alias("name"), F.lit("2").alias("version"))))

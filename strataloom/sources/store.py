@@ -31,10 +31,10 @@ class Store:
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(m, sort_keys=True).encode()))
         out.close()
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
-        if not self._fs.rename(tmp, to):
-            raise OSError(f"{to.toString()} can't be written")
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri() if to.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        overwrite = self.spark._sc._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(self._fs.makeQualified(tmp), self._fs.makeQualified(to), overwrite)  # replaces the old one in one step
 
     def manifests(self) -> list[dict]:
         """All manifests, the newest first; ties by the greater id."""

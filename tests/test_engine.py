@@ -172,14 +172,42 @@ def test_sinks(spark, tmp_path):
 
 
 def test_change_feed(spark, tmp_path):
+    """Each batch equals a rebuild: evidence of one edge in two documents, best evidence that goes, a document without edges."""
     store = Store(spark, f"{tmp_path}/store")
-    full = {d: edges(random.Random(ord(d)), [d]) for d in "abc"}
+    rng = random.Random(9)
+    full = {d: edges(rng, [d], 3) for d in "abc"}
+    shared = ("M:s0|a", "M:s1|a", "Calls", "possible", "a", 1, False, None)
+    full["a"].append(shared)
+    full["b"].append((*shared[:3], "compiler_proved", "b", 5, False, None))
+    now: dict[str, list] = {}
+    cols = [f.split()[0] for f in RAW.split(", ")]
 
     def derive(batch):
-        return graph.edge_dedup(spark.createDataFrame([r for d in full.values() for r in d], RAW).join(batch.select("doc").distinct(), "doc", "left_semi").select(*[f.split()[0] for f in RAW.split(", ")]))
+        return spark.createDataFrame([r for d in now.values() for r in d], RAW).join(batch.select("doc").distinct(), "doc", "left_semi").select(*cols)
 
-    for d in "abc":
+    for k, (d, rows_) in enumerate([("a", full["a"]), ("b", full["b"]), ("c", full["c"]), ("b", [])]):
+        now[d] = rows_
         spark.createDataFrame([(d,)], "doc string").write.mode("append").parquet(f"{tmp_path}/feed")
-        follow(spark, f"{tmp_path}/feed", "doc string", store, "w", derive, f"{tmp_path}/checkpoint").awaitTermination()
-    want = [r for d in "abc" for r in rows(graph.edge_dedup(spark.createDataFrame(full[d], RAW)))]
-    assert rows(store.read("edges", store.latest("w")["snapshot_id"])) == sorted(want, key=str)
+        follow(spark, f"{tmp_path}/feed", "doc string", store, "w", derive, f"{tmp_path}/checkpoint", lambda _: symbols(spark, 5)).awaitTermination()
+        b = Engine(spark, f"{tmp_path}/b{k}", "w")
+        b.build("s", symbols(spark, 5), spark.createDataFrame([r for d in now.values() for r in d], RAW))
+        e = Engine(spark, f"{tmp_path}/store", "w")
+        assert rows(e.table("edges")) == rows(b.table("edges").select(e.table("edges").columns))
+        assert e.table("symbols").count() == 5
+
+
+def test_refresh_keeps_what_a_build_has(spark, tmp_path):
+    """Synthetic nodes, annotations, facts by document and by snapshot."""
+    a, b = Engine(spark, f"{tmp_path}/a", "w"), Engine(spark, f"{tmp_path}/b", "w")
+    one = [("M:s0|a", "M:s1|a", "Calls", "possible", "x", 1, False, None), ("route:/r", "M:s0|a", "RoutesTo", "framework_derived", "x", 2, False, None)]
+    old, new = [("M:s1|a", "M:s2|a", "Calls", "possible", "y", 1, False, None)], [("M:s2|a", "M:s1|a", "Calls", "possible", "y", 3, False, None), ("route:/n", "M:s2|a", "RoutesTo", "framework_derived", "y", 3, False, None)]
+    nodes = lambda *n: spark.createDataFrame([(x,) for x in n], "symbol_id string")
+    docs = lambda **d: spark.createDataFrame([(p, "p", c, c, c) for p, c in d.items()], "path string, project string, content string, content_hash string, version_id string")
+    notes = spark.createDataFrame([(1, "M:s0|a", "note", "v", None)], "seq bigint, symbol_id string, kind string, value string, document_path string")
+    timings = spark.createDataFrame([(1, "load", 5)], "seq bigint, step string, elapsed bigint")
+    a.build("s0", symbols(spark), spark.createDataFrame(one + old, RAW), nodes("route:/r"), documents=docs(x="1", y="1"), annotations=notes, timings=timings)
+    a.refresh("s1", symbols(spark), spark.createDataFrame([("y",)], "doc string"), spark.createDataFrame(new, RAW), nodes("route:/n"), documents=docs(y="2"))
+    b.build("s1", symbols(spark), spark.createDataFrame(one + new, RAW), nodes("route:/r", "route:/n"), documents=docs(x="1", y="2"), annotations=notes, timings=timings)
+    assert a.store.latest("w")["tables"] == b.store.latest("w")["tables"] and a.store.latest("w")["dropped"] == b.store.latest("w")["dropped"]
+    for t in b.store.latest("w")["tables"]:
+        assert rows(a.table(t)) == rows(b.table(t).select(a.table(t).columns)), t
