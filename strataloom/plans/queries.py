@@ -176,7 +176,9 @@ query("search_substring", "symbols", "SELECT symbol_id, fqn FROM symbols WHERE c
 query("keyset_page_substring", "symbols", "SELECT symbol_id, fqn FROM symbols WHERE contains(lower(fqn), 'inv') AND (fqn > 'inv.Brand#2' OR (fqn = 'inv.Brand#2' AND symbol_id > '')) ORDER BY fqn, symbol_id LIMIT 11")(
     lambda t: search.keyset_page(search.search_substring(t.symbols, "inv"), "fqn", "symbol_id", ("inv.Brand#2", ""), 10))
 query("topk_search", "docs", _post + _bm25("'und', 'die'", 2) + " ORDER BY rank, path LIMIT 5")(lambda t: search.search_source(t.docs, "und die", 5))
-query("snippet", "docs")(lambda t: t.docs.filter(F.lower("content").contains("license")).select("path", search.snippet("content", ["license"]).alias("snippet")))
+_plain = r"regexp_replace(lower(w), '[^\p{L}\p{N}]+', '', 'g')"
+query("snippet", "docs", rf", x AS (SELECT path, regexp_split_to_array(content, '\s+') AS ws FROM docs WHERE contains(lower(content), 'license')), y AS (SELECT path, ws, coalesce(list_position(list_transform(ws, lambda w: {_plain}), 'license'), 1) AS hit FROM x), z AS (SELECT path, ws, CASE WHEN hit = 0 THEN 1 ELSE hit END AS hit FROM y) SELECT path, array_to_string(list_transform(ws[greatest(hit - 5, 1) : greatest(hit - 5, 1) + 10], lambda w: CASE WHEN {_plain} = 'license' THEN '<mark>' || w || '</mark>' ELSE w END), ' ') AS snippet FROM z")(
+    lambda t: t.docs.filter(F.lower("content").contains("license")).select("path", search.snippet("content", ["license"]).alias("snippet")))
 query("offset_page", "symbols", "SELECT symbol_id, (SELECT greatest(count(*) - 30, 0) FROM symbols) AS remaining FROM symbols ORDER BY symbol_id LIMIT 10 OFFSET 20")(lambda t: search.offset_page(t.symbols.select("symbol_id"), ["symbol_id"], 20, 10))
 
 # --- graph ------------------------------------------------------------------------------------------------------
@@ -320,9 +322,33 @@ query("tier_registered_impls", "edges", f"SELECT 'registeredImplementations' AS
 query("tier_relevant_tests", "edges", _reach("SELECT 'relevantTests' AS tier, dst AS symbol_id, min(provenance) AS provenance FROM edges WHERE kind = 'TestedBy' AND src IN (SELECT node FROM r) GROUP BY dst", PART, "dst", "src", 3, "WHERE kind = 'Calls'"))(lambda t: capsule.tier_relevant_tests(t.edges, _id(t, PART)))
 query("tier_second_degree", "edges", _reach("SELECT 'secondDegree' AS tier, node AS symbol_id, 'possible' AS provenance FROM r WHERE depth > 1", PART, "dst", "src", 3, "WHERE kind = 'Calls'"))(lambda t: capsule.tier_second_degree(t.edges, _id(t, PART)))
 query("tier_surrounding", "edges", f"SELECT 'surroundingSource' AS tier, dst AS symbol_id, min(provenance) AS provenance FROM edges WHERE kind = 'Declares' AND src = '{CUST}' GROUP BY dst")(lambda t: capsule.tier_surrounding(t.edges, _id(t, CUST)))
-query("context_capsule", "")(lambda t: capsule.budget_prefix(capsule.all_tiers(t.edges, t.symbols, PART).withColumn("cost", fx.token_estimate(F.coalesce("fqn", "symbol_id"))), 200))
-query("tier_page", "")(lambda t: capsule.tier_page(capsule.all_tiers(t.edges, t.symbols, PART), "directCallers", 0, 5))
-query("tier_reasons", "")(lambda t: capsule.tier_reasons(capsule.budget_prefix(capsule.all_tiers(t.edges, t.symbols, PART).withColumn("cost", F.lit(5)), 100), capsule.tier_order(True)))
+def _tiers(anchor: str) -> str:
+    """CTE `t`: the tiers of a type, in the order for a type, with each symbol in the first one that has it."""
+    own, kin = f"kind IN ('Declares', 'Contains')", "'Calls', 'Constructs'"
+    parts = [
+        ("contracts", f"SELECT dst AS symbol_id, min(provenance) AS provenance FROM edges WHERE kind IN ('Inherits', 'Implements', 'Overrides') AND src = '{anchor}' GROUP BY dst"),
+        ("directCallees", f"SELECT dst, min(provenance) FROM (SELECT dst, provenance FROM edges WHERE kind IN ({kin}) AND src = '{anchor}' UNION ALL SELECT m.dst, 'global_implementation_relation' FROM edges m WHERE m.kind = 'MayDispatchTo' AND m.src IN (SELECT dst FROM edges WHERE kind IN ({kin}) AND src = '{anchor}') AND m.dst NOT IN (SELECT dst FROM edges WHERE kind IN ({kin}) AND src = '{anchor}')) x GROUP BY dst"),
+        ("directCallers", f"SELECT src, min(provenance) FROM edges WHERE (kind = 'Calls' OR kind IN ('RoutesTo', 'Handles') AND src NOT IN (SELECT src FROM edges WHERE kind = 'Calls' AND dst = '{anchor}')) AND dst = '{anchor}' GROUP BY src"),
+        ("registeredImplementations", f"SELECT CASE WHEN src = '{anchor}' THEN dst ELSE src END, min(provenance) FROM edges WHERE kind IN ('MayDispatchTo', 'Registers') AND (src = '{anchor}' OR dst = '{anchor}') OR kind = 'Handles' AND src = '{anchor}' GROUP BY 1"),
+        ("surroundingSource", f"SELECT dst, min(provenance) FROM edges WHERE {own} AND dst <> '{anchor}' AND src IN (SELECT src FROM edges WHERE {own} AND dst = '{anchor}' UNION SELECT '{anchor}') GROUP BY dst"),
+        ("secondDegree", "SELECT node, 'possible' FROM r WHERE depth > 1"),
+        ("relevantTests", "SELECT dst, min(provenance) FROM edges WHERE kind = 'TestedBy' AND src IN (SELECT node FROM r) GROUP BY dst"),
+    ]
+    rows = " UNION ALL ".join(f"SELECT {i} AS tier_rank, '{n}' AS tier, * FROM ({q}) q{i}" for i, (n, q) in enumerate(parts))
+    one = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol_id ORDER BY tier_rank) AS rn FROM every) z WHERE rn = 1"
+    return _reach(f", every(tier_rank, tier, symbol_id, provenance) AS ({rows}), t AS (SELECT f.symbol_id, f.tier_rank, f.tier, f.provenance, s.fqn, CAST(row_number() OVER (PARTITION BY f.tier_rank ORDER BY f.symbol_id) AS INTEGER) AS item_rank FROM ({one}) f LEFT JOIN symbols s ON s.symbol_id = f.symbol_id)", anchor, "dst", "src", 3, "WHERE kind = 'Calls'")
+
+
+def _budgeted(cost: str, budget: int) -> str:
+    return f", c AS (SELECT *, CAST({cost} AS INTEGER) AS cost FROM t), b AS (SELECT *, CAST(sum(cost) OVER (ORDER BY tier_rank, item_rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM c)"
+
+
+query("context_capsule", "edges symbols", _tiers(PART) + _budgeted("floor(length(coalesce(fqn, symbol_id)) / 4)", 200) + " SELECT symbol_id, tier_rank, tier, provenance, fqn, item_rank, cost, running, running <= 200 AS included FROM b")(
+    lambda t: capsule.budget_prefix(capsule.all_tiers(t.edges, t.symbols, PART).withColumn("cost", fx.token_estimate(F.coalesce("fqn", "symbol_id"))), 200))
+query("tier_page", "edges symbols", _tiers(PART) + " SELECT symbol_id, tier_rank, tier, provenance, fqn, item_rank FROM t WHERE tier = 'directCallers' AND item_rank BETWEEN 1 AND 5")(lambda t: capsule.tier_page(capsule.all_tiers(t.edges, t.symbols, PART), "directCallers", 0, 5))
+_order = ", ".join(f"('{n}')" for n in capsule.tier_order(True))
+query("tier_reasons", "edges symbols", _tiers(PART) + _budgeted("5", 100) + f" SELECT o.tier, count(*) FILTER (WHERE running <= 100) AS included, CASE WHEN count(b.tier) = 0 THEN 'empty' WHEN count(*) FILTER (WHERE running <= 100) < count(b.tier) THEN 'budget_exhausted' END AS reason FROM (VALUES {_order}) o(tier) LEFT JOIN b ON b.tier = o.tier GROUP BY o.tier")(
+    lambda t: capsule.tier_reasons(capsule.budget_prefix(capsule.all_tiers(t.edges, t.symbols, PART).withColumn("cost", F.lit(5)), 100), capsule.tier_order(True)))
 query("budget_prefix", "docs", "SELECT path, CAST(running AS BIGINT) AS running, running <= 100000 AS included FROM (SELECT path, sum(floor(len(content) / 4)) OVER (ORDER BY project, path ROWS UNBOUNDED PRECEDING) AS running FROM docs) x")(
     lambda t: capsule.budget_prefix(t.docs.select(F.col("project").alias("tier_rank"), F.col("path").alias("item_rank"), "path", fx.token_estimate("content").alias("cost")), 100000).select("path", F.col("running").cast("bigint").alias("running"), "included"))
 query("compose_provenance", "raw_edges", "SELECT src, dst, CASE WHEN bool_or(provenance = 'framework_derived') THEN 'framework_derived' ELSE 'possible' END AS provenance FROM raw_edges GROUP BY src, dst")(
@@ -332,9 +358,10 @@ query("uncertainties", "edges incompleteness", f", o AS (SELECT * FROM edges WHE
 query("suggested_verification", "edges", f"SELECT DISTINCT 'test ' || dst AS command FROM edges WHERE kind = 'TestedBy' AND src = '{PART}'")(lambda t: capsule.suggested_verification(t.edges, _id(t, PART)))
 query("constraint_annotations", "annotations", "SELECT symbol_id, kind, value FROM annotations WHERE kind LIKE '%constraint%' OR kind LIKE '%invariant%'")(lambda t: t.annotations.filter("kind LIKE '%constraint%' OR kind LIKE '%invariant%'").select("symbol_id", "kind", "value"))
 
-query("keyset_page_fts", "docs")(lambda t: search.keyset_page(search.bm25(*search.build_search_index(t.docs, "path", ["content"]), "the").withColumn("rank", F.round("rank", 6)), "rank", "key", (-0.5, ""), 10))
-query("extractor_registry", "")(lambda t: adapters.extractor_registry(t.spark))
-query("declared_boundaries", "")(lambda t: adapters.declared_boundaries(t.spark))
+query("keyset_page_fts", "docs", _post + _bm25("'the'", 1).replace("SELECT key AS path, round(rank, 6) AS rank FROM r WHERE hits >= 1", ", k AS (SELECT key, round(rank, 6) AS rank FROM r) SELECT key, rank FROM k WHERE rank > -0.5 OR (rank = -0.5 AND key > '') ORDER BY rank, key LIMIT 11"))(
+    lambda t: search.keyset_page(search.bm25(*search.build_search_index(t.docs, "path", ["content"]), "the").withColumn("rank", F.round("rank", 6)), "rank", "key", (-0.5, ""), 10))
+query("extractor_registry", "", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}')" for n, v in adapters.EXTRACTORS) + ") x(name, version)")(lambda t: adapters.extractor_registry(t.spark))
+query("declared_boundaries", "", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(c, n.replace("'", "''")) for c, n in adapters.BOUNDARIES) + ") x(construct, note)")(lambda t: adapters.declared_boundaries(t.spark))
 query("change_feed_windows", "", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda t: feed.counts_by_window(t.events))
 query("sink_json", "symbols", """SELECT '{"symbol_id":"' || symbol_id || '"}' AS value FROM symbols""")(lambda t: sinks.to_json(t.symbols.select("symbol_id")))
 query("sink_summary", "symbols", "SELECT kind, count(*) AS n FROM symbols GROUP BY kind")(lambda t: sinks.summary(t.symbols, "kind"))
