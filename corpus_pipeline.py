@@ -2,6 +2,9 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on all its predecessor kept; its result is
 written as Parquet and read again as the next one's docs.
+
+Other columns pass through every stage whatever their names, and an empty table passes as one. Texts may have any length. Documents with a null or
+empty text, or without a letter, leave in the first stage.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ from strataloom.llm.simhash import drop_near_duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised. Those with a null text, no letter or another language go, and all where no row has a label; repeated rows fare alike."""
     return identify(spark, docs).filter("__accepted").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated lines; one that has no line left goes. n_chars is counted anew where lines went."""
+    """Documents without repeated lines; one that has no line left goes. n_chars is counted anew where lines went. Rows with a null id or text stay as they are."""
     out = dedup_lines(spark, docs).filter((F.col("__n_removed") == 0) | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -31,17 +34,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the least doc_id; rows with a null id or text and those without a word stay, repeated rows of one doc_id stay together."""
     return drop_near_duplicates(spark, docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark; rows with a null text stay. An empty benchmark takes none away."""
     return decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of each document by its source's rate, numbered in `copy`."""
+    """Copies of each document by its source's rate, numbered in `copy`, which replaces a column of that name. Rows of a null source are a source of their own."""
     return mix_sources(spark, docs)
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import shared_table
+from ._io import fresh, shared_table
 from ._text import U, Words, buffers, lower, mix, slices
 
 #: Labelled documents that a model is fitted on, at most: those of the least hashes of doc_id.
@@ -216,7 +216,8 @@ class Model:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled documents.
 
-    Several labels of one doc_id count as the greatest of each; rows with a null in either label are left out.
+    Several labels of one doc_id count as the greatest of each; rows with a null in either label are left out. Of rows of one doc_id with
+    different texts the one of the least features counts. doc_id must be an integer.
     From the sample's texts the executors count in how many documents each word and word head occurs; those that mark toxic
     ones make the list of at most LEXICON tokens. The driver gets the list and the sample's features.
     """
@@ -256,21 +257,21 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
                 x = features(part.column("text"), lexicon)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("q"), part.column("t"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "q", "t", "x"])
 
-    got = rows.mapInArrow(vectors, "id bigint, q int, t int, x binary").dropDuplicates(["id"]).orderBy("id").toArrow()
+    got = rows.mapInArrow(vectors, "id bigint, q int, t int, x binary").groupBy("id").agg(F.min(F.struct("x", "q", "t")).alias("r")).select("id", "r.*").orderBy("id").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float64).reshape(-1, len(FEATURES))
     y, t = got.column("q").to_numpy().astype(float), got.column("t").to_numpy().astype(float)
     return Model(lexicon, fit(x, y), fit(x, t))
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
-                x = features(part.column("__text"), model.lexicon)
+            for part in slices(batch, text):
+                x = features(part.column(text), model.lexicon)
                 empty = x[:, 0] == 0
                 q, t = model.quality.probability(x), model.toxic.probability(x)
                 keep = ~empty & (q >= 0.5) & (t < 0.5)
-                old = [(c, f) for c, f in zip(part.columns, part.schema.names) if f != "__text"]
+                old = [(c, f) for c, f in zip(part.columns, part.schema.names) if f != text]
                 yield pa.RecordBatch.from_arrays([c for c, _ in old] + [pa.array(q, mask=empty), pa.array(t, mask=empty), pa.array(keep)], [f for _, f in old] + ["__quality", "__toxic", "__keep"])
 
     return run
@@ -282,9 +283,10 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     A text without a word, null and empty ones among them, has null probabilities and isn't kept. Repeated rows each get the
     same result. Without labels both probabilities are 0.5 and nothing is kept. Other columns pass unchanged; those named like the new ones are replaced.
     """
-    keep = [c for c in docs.columns if c.lower() not in {"__quality", "__toxic", "__keep", "__text"}]
+    keep = [c for c in docs.columns if c.lower() not in {"__quality", "__toxic", "__keep"}]
+    text = fresh(docs, "__text")
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(_scorer(model), fields + "__quality double, __toxic double, __keep boolean")
+    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(_scorer(model, text), fields + "__quality double, __toxic double, __keep boolean")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

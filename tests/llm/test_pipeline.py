@@ -46,3 +46,22 @@ def test_pipeline(spark, tmp_path):
     assert set(kept[names[4]]) <= set(kept[names[3]])
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r["copy"], r.text) for r in whole.collect()) == sorted((r.doc_id, r["copy"], r.text) for r in df.collect())
+
+
+def test_odd_tables(spark, tmp_path):
+    """Clashing names, nulls in any column, ties, repeated rows and a very long text; then no rows at all."""
+    rng = random.Random(2)
+    odd = "doc_id bigint, text string, lang string, source string, n_chars bigint, __text string, __id string, row string, __gone string, copy string, links bigint"
+    docs = [(i, "\n".join(speak(rng, g, 12) for _ in range(5)), g, f"s{i % 2}", None, "a", "b", "c", "d", "e", None) for i, g in enumerate(rng.choices(["en", "de", "fr", "es"], k=40))]
+    docs += [docs[3], docs[3], (None, docs[4][1][::-1], "en", None, 1, *[None] * 6), (50, None, None, None, None, *[None] * 6), (51, "\n".join(speak(rng, "de", 30) for _ in range(3000)), None, None, None, *[None] * 6)]
+    spark.createDataFrame([(1, "none of these"), (None, "x"), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, odd).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = out.collect()
+    assert {r.doc_id for r in rows} <= {d[0] for d in docs} - {50} and len({r.doc_id for r in rows}) > 30
+    assert all(r["__text"] == "a" and r["__gone"] == "d" for r in rows if r.doc_id in range(40))
+    assert out.columns[:4] == ["doc_id", "text", "lang", "source"] and "copy" in out.columns
+    (tmp_path / "none").mkdir()
+    spark.createDataFrame([], odd).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
