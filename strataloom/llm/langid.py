@@ -7,18 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import fresh, shared_table
+from ._io import free, fresh, shared_table, whole
 from ._text import U, Words, buffers, distinct, lower, mix
 
 FAMILIES = {"germanic": ("en", "de"), "romance": ("fr", "es")}
 DIMENSIONS = 1 << 12
-#: Documents of each language that a model is fitted on, at most: those of the least hashes of doc_id.
+#: Documents of each language in a block, about. Machines are fitted on each block, and the model is their mean over all blocks.
 SAMPLE = 400
+#: A trigram is known where at least two documents have it and its shares of each language's documents add up to this.
+SEEN = 0.005
 BLOCK = 1 << 20
-#: Least share of known trigrams: this part of the share that all but QUANTILE of the sample's own documents reach.
+#: Least share of known trigrams: this part of the share that all but QUANTILE of the labelled documents reach.
 KNOWN, QUANTILE = 0.9, 0.01
 #: What a text of n trigrams may fall short of that, divided by the root of n: the share of a short text is a noisy one.
 NOISE = 0.5
@@ -39,19 +41,21 @@ def _blocks(data: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _grams(data: np.ndarray, off: np.ndarray, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(k, text, hash) of the byte k-grams of letters within words, k from 1 to 4."""
+def _grams(data: np.ndarray, off: np.ndarray, w: Words, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, text, hash) of the byte k-grams of letters within words."""
     folded = lower(data).astype(U)
     inside = np.zeros(len(data) + 1, np.int32)
     inside[w.start] += 1
     np.add.at(inside, w.end, -1)
     alpha = np.cumsum(inside[:-1]).astype(bool) & ~((data >= 48) & (data < 58))
-    text = np.searchsorted(off, np.arange(len(data)), "right") - 1
+    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
     word = np.cumsum(np.bincount(w.start, minlength=len(data)))
     gram = folded
-    for k in range(1, 5):
+    for k in range(1, max(sizes) + 1):
         if k > 1:
             gram = gram[: len(data) - k + 1] * U(257) + folded[k - 1 :]
+        if k not in sizes:
+            continue
         m = len(gram)
         at = np.flatnonzero(alpha[:m] & alpha[k - 1 :] & (word[:m] == word[k - 1 :]))
         yield k, text[at], mix(gram[at], k)
@@ -63,8 +67,8 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x, letters
 
 
-def _features(column: pa.Array, table: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Also the share of each text's trigrams that table knows, 1 where there is no trigram, and their number."""
+def _features(column: pa.Array, table: np.ndarray | None, held: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Also the share of each text's trigrams that table knows, 1 where there is no trigram, and their number. `held` gets text * TABLE + place of each text's trigrams."""
     data, offsets = buffers(column)
     n = len(offsets) - 1
     counts = np.zeros((n, DIMENSIONS), np.float32)
@@ -74,27 +78,48 @@ def _features(column: pa.Array, table: np.ndarray | None) -> tuple[np.ndarray, n
         part, off = data[a:b], np.clip(offsets, a, b) - a
         w = Words(part, off)
         for k, text, gram in _grams(part, off, w):
-            _add(flat, text * DIMENSIONS + (gram % U(DIMENSIONS)).astype(np.int64))
+            _add(flat, text * DIMENSIONS + (gram & U(DIMENSIONS - 1)).astype(np.int64))
             if k == 1:
                 letters += np.bincount(text, minlength=n)
             if k == 3 and table is not None:
                 three += np.bincount(text, minlength=n)
-                seen += np.bincount(text[table[(gram % U(TABLE)).astype(np.int64)]], minlength=n)
-        _add(flat, w.text_of() * DIMENSIONS + (mix(w.hash, 9) % U(DIMENSIONS)).astype(np.int64))
+                seen += np.bincount(text[table[(gram & U(TABLE - 1)).astype(np.int64)]], minlength=n)
+            if k == 3 and held is not None:
+                held.append(distinct(text * TABLE + (gram & U(TABLE - 1)).astype(np.int64)))
+        _add(flat, w.text_of() * DIMENSIONS + (mix(w.hash, 9) & U(DIMENSIONS - 1)).astype(np.int64))
     np.sqrt(counts, out=counts)
     norm = np.sqrt(np.einsum("ij,ij->i", counts, counts))
     counts /= np.where(norm > 0, norm, 1)[:, None]
     return counts, letters, np.where(three > 0, seen / np.maximum(three, 1), 1.0), three
 
 
-def trigrams(column: pa.Array) -> np.ndarray:
-    """The distinct places in the table of known trigrams that the texts hold."""
+def known_share(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of each text's trigrams that table knows, and their number."""
     data, offsets = buffers(column)
-    out = [np.zeros(0, np.int64)]
+    n = len(offsets) - 1
+    three, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for a, b in _blocks(data):
-        off = np.clip(offsets, a, b) - a
-        out += [distinct((gram % U(TABLE)).astype(np.int64)) for k, _, gram in _grams(data[a:b], off, Words(data[a:b], off)) if k == 3]
-    return distinct(np.concatenate(out))
+        part, off = data[a:b], np.clip(offsets, a, b) - a
+        for _, text, gram in _grams(part, off, Words(part, off), (3,)):
+            three += np.bincount(text, minlength=n)
+            seen += np.bincount(text[table[(gram & U(TABLE - 1)).astype(np.int64)]], minlength=n)
+    return seen / np.maximum(three, 1), three
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """A vector in half precision: a bit for each place, and the values that aren't 0, low bytes first."""
+    half = x.astype(np.float16)
+    some = half > 0
+    raw = np.packbits(some).tobytes() + half[some].view(np.uint8).reshape(-1, 2).T.tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True), np.uint8)
+    out = np.zeros(DIMENSIONS, np.float32)
+    values = np.ascontiguousarray(raw[DIMENSIONS // 8 :].reshape(2, -1).T).view(np.float16).ravel()
+    out[np.unpackbits(raw[: DIMENSIONS // 8]).astype(bool)] = values
+    return out
 
 
 def _add(flat: np.ndarray, at: np.ndarray) -> None:
@@ -126,7 +151,7 @@ class Model:
     family: np.ndarray  # one column for each family
     languages: list[list[str]]
     within: list[np.ndarray]  # for each family a column for each two of its languages, in the order of `contests`
-    table: np.ndarray | None = None  # bits of the trigrams that two documents of the sample have, packed
+    table: np.ndarray | None = None  # bits of the known trigrams, packed
     known: float = 0.0
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,88 +190,149 @@ def decide(score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return best, np.where(np.isinf(least), 1.0, least)[np.arange(len(score)), best]
 
 
-def fit(x: np.ndarray, labels: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> Model | None:
-    """The machines for the languages that occur in labels; None without any."""
+def machines(x: np.ndarray, labels: list[str], languages: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, rows) of each machine: those of the families, one where there are two, then each family's contests. Zeros where a side has no row."""
     lang = np.array(labels, object)
-    languages = {f: [g for g in names if (lang == g).any()] for f, names in families.items()}
-    languages = {f: names for f, names in languages.items() if names}
-    if not languages:
-        return None
-
-    def machine(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return svm(x[rows], np.where(first[rows], 1, -1).astype(np.float32))
-
-    member = {f: np.isin(lang, names) for f, names in languages.items()}
-    known = np.flatnonzero(np.any(list(member.values()), axis=0))
-    groups = list(member.values())
-    if len(groups) == 1:  # nothing to tell apart: the margin is 1
-        family = np.append(np.zeros(x.shape[1]), 1.0)[:, None].astype(np.float32)
-    elif len(groups) == 2:  # each is the other's rest
-        one = machine(known, groups[0])
-        family = np.stack([one, -one], 1)
+    member = [np.isin(lang, names) for names in languages.values()]
+    every = np.ones(len(lang), bool)
+    sides = [(every, g) for g in (member[:1] if len(member) == 2 else member if len(member) > 2 else [])]
+    for names in languages.values():
+        sides += [((lang == names[i]) | (lang == names[j]), lang == names[i]) for i, j in contests(len(names))]
+    weights, size = np.zeros((len(sides), x.shape[1] + 1)), np.zeros(len(sides))
+    for k, (rows, first) in enumerate(sides):
+        y = first[rows]
+        if y.any() and not y.all():
+            weights[k], size[k] = svm(x[rows], np.where(y, 1, -1).astype(np.float32)), len(y)
+    return weights, size
+
+
+def assembled(weights: np.ndarray, languages: dict[str, list[str]]) -> Model:
+    weights = weights.astype(np.float32)
+    if len(languages) == 1:  # nothing to tell apart: the margin is 1
+        family, at = np.append(np.zeros(DIMENSIONS), 1.0)[:, None].astype(np.float32), 0
+    elif len(languages) == 2:  # each is the other's rest
+        family, at = np.stack([weights[0], -weights[0]], 1), 1
     else:
-        family = np.stack([machine(known, g) for g in groups], 1)
+        family, at = weights[: len(languages)].T, len(languages)
     within = []
     for names in languages.values():
-        pairs = [machine(np.flatnonzero((lang == names[i]) | (lang == names[j])), lang == names[i]) for i, j in contests(len(names))]
-        within.append(np.stack(pairs, 1) if pairs else np.zeros((x.shape[1] + 1, 0), np.float32))
+        n = len(contests(len(names)))
+        within.append(weights[at : at + n].T)
+        at += n
     return Model(list(languages), family, list(languages.values()), within)
 
 
 def train(spark: SparkSession, docs: DataFrame, sample: int = SAMPLE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model | None:
-    """Fits on at most `sample` labelled documents of each language, those of the least hash of doc_id.
+    """Fits on all labelled documents.
+
+    The hash of doc_id deals them into blocks of about `sample` documents a language. Machines are fitted on each block by one task, and the model has their
+    means, in which each row counts the same: of a small table, which makes one block, it is the machine of all rows. Copies of a row (same doc_id, lang and vector) count once.
+    Known trigrams and the least share of them are also taken from all labelled documents.
 
-    Two scans of docs: the first reads doc_id and lang only, the second turns the chosen texts into vectors
-    on the executors; sample x languages vectors of DIMENSIONS floats reach the driver, whatever the input's size.
+    Two scans of the texts: the first makes vectors, about as large as the texts when compressed, which are shuffled by block, and counts
+    in how many documents each trigram occurs; the second gets the shares of known trigrams. The driver gets sums of weights and the
+    list of known trigrams, whatever the input's size.
     """
     known = docs.filter(F.col("lang").isin([g for names in families.values() for g in names]) & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= sample).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    ids = shared_table(spark, ids, "sample")
-    chosen = shared_table(spark, known.join(ids, (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("doc_id", "lang", "text"), "chosen")
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, x binary, g int, n bigint"
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[str, np.ndarray] = {}
+        doc_type = None
         for batch in batches:
+            doc_type = batch.schema.field("doc_id").type
             for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                x, letters = features(part.column("text"))
+                part, held = batch.slice(k, 256), []
+                x, letters, *_ = _features(part.column("text"), None, held)
+                names = np.array(part.column("lang").to_pylist(), object)
+                both = distinct(np.concatenate([np.zeros(0, np.int64), *held]))
+                lang = names[both // TABLE]
+                for g in set(names):
+                    place, n = np.unique(both[lang == g] % TABLE, return_counts=True)
+                    count.setdefault(g, np.zeros(TABLE, np.int64))[place] += n
                 ok = np.flatnonzero(letters > 0)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(ok)), part.column("lang").take(pa.array(ok)), pa.array([x[i].astype(np.float16).tobytes() for i in ok], pa.binary())], ["doc_id", "lang", "x"])
-
-    rows = chosen.mapInArrow(vectors, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, x binary").orderBy("lang", F.xxhash64("doc_id"), "doc_id", "x").toArrow()
-    if not rows.num_rows:
+                m = len(ok)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(ok)), part.column("lang").take(pa.array(ok)), pa.array([_packed(x[i]) for i in ok], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], ["doc_id", "lang", "x", "g", "n"])
+        for g, n in count.items():
+            place = np.flatnonzero(n)
+            m = len(place)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, doc_type), pa.array([g] * m, pa.string()), pa.nulls(m, pa.binary()), pa.array(place.astype(np.int32)), pa.array(n[place])], ["doc_id", "lang", "x", "g", "n"])
+
+    rows = shared_table(spark, known.mapInArrow(vectors, kind), "vectors")
+    number = {r.lang: r.n for r in rows.filter("x is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = {f: [g for g in names if g in number] for f, names in families.items()}
+    languages = {f: names for f, names in languages.items() if names}
+    if not languages:
         return None
-    at = np.zeros(rows.num_rows, bool)
-    seen: dict[str, int] = {}
-    names = rows.column("lang").to_pylist()
-    for i, g in enumerate(names):  # rows that repeat a doc_id don't widen the sample
-        seen[g] = seen.get(g, 0) + 1
-        at[i] = seen[g] <= sample
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, DIMENSIONS)[at].astype(np.float32)
-    model = fit(x, [g for g, ok in zip(names, at) if ok], families)
-
-    def seen_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks = max(1, round(sum(number.values()) / (sample * len(number))))
+
+    def committee(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for t in whole(batches, ("block",)):
+            block = t.column("block").to_numpy()
+            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            for s, e in zip(cut.tolist(), np.append(cut[1:], len(block)).tolist()):
+                own = t.slice(s, e - s).to_pydict()
+                one = dict.fromkeys(zip(own["doc_id"], own["lang"], own["x"]))
+                w, n = machines(np.stack([_unpacked(x) for _, _, x in one]), [g for _, g, _ in one], languages)
+                part = np.hstack([w * n[:, None], n[:, None]])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["w"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays([pa.array(trigrams(batch.column("text").slice(k, 1)).astype(np.int32))], ["g"])
+            for w in batch.column("w").to_pylist():
+                total = np.frombuffer(w) if total is None else total + np.frombuffer(w)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["w"])
+
+    dealt = rows.filter("x is not null").select("doc_id", "lang", "x", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    parts = min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = dealt.repartition(parts, "block").sortWithinPartitions("block", "lang", "doc_id").mapInArrow(committee, "w binary").repartition(8).mapInArrow(added, "w binary").toArrow()
+    total = sum(np.frombuffer(w).reshape(-1, DIMENSIONS + 2) for w in sums.column("w").to_pylist())
+    model = assembled(total[:, :-1] / np.maximum(total[:, -1:], 1), languages)
 
     table = np.zeros(TABLE, bool)
-    table[chosen.select("text").mapInArrow(seen_grams, "g int").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").toArrow().column("g").to_numpy()] = True
+    share = F.lit(0.0)
+    for g, n in number.items():
+        share = F.when(F.col("lang") == g, F.lit(1.0 / n)).otherwise(share)
+    places = rows.filter("g is not null").groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * share).alias("share"))
+    table[places.filter((F.col("n") > 1) & (F.col("share") >= SEEN - 1e-9)).select("g").toArrow().column("g").to_numpy()] = True
+    free(spark, rows)
     model.table = np.packbits(table)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
-                _, _, share, n = _features(batch.column("text").slice(k, 256), table)
-                yield pa.RecordBatch.from_arrays([pa.array(share), pa.array(n)], ["share", "n"])
-
-    own = chosen.select("text").mapInArrow(shares, "share double, n bigint").filter("n > 0").toArrow()
-    share, n = own.column("share").to_numpy(), own.column("n").to_numpy()
-    if len(share):
-        model.known = KNOWN * float(np.quantile(share + NOISE / np.sqrt(n), QUANTILE))
+                part, n = known_share(batch.column("text").slice(k, 256), table)
+                yield pa.RecordBatch.from_arrays([pa.array((part + NOISE / np.sqrt(np.maximum(n, 1)))[n > 0])], ["v"])
+
+    own = shared_table(spark, known.select("text").mapInArrow(shares, "v double"), "shares")
+    least = quantile(own, QUANTILE)
+    if least is not None:
+        model.known = KNOWN * least
+    free(spark, own)
     return model
 
 
+def quantile(values: DataFrame, q: float) -> float | None:
+    """The exact quantile of column v, interpolated between two values: they are counted by cells, and only those of the cells in question are looked at."""
+    cell = F.floor(F.col("v") * 4096)
+    cells = sorted((r.c, r.n) for r in values.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not cells:
+        return None
+    upto = np.cumsum([n for _, n in cells])
+    at = (int(upto[-1]) - 1) * q
+    lo, hi = int(at), min(int(at) + 1, int(upto[-1]) - 1)
+    i, j = (int(np.searchsorted(upto, k, "right")) for k in (lo, hi))
+    few = sorted((r.v, r.n) for r in values.filter(cell.between(cells[i][0], cells[j][0])).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect())
+    end = np.cumsum([n for _, n in few]) + (int(upto[i]) - cells[i][1])
+    a, b = (few[int(np.searchsorted(end, k, "right"))][0] for k in (lo, hi))
+    return a + (b - a) * (at - lo)
+
+
 OUT = "family string, language string, family_margin double, margin double, known double, accepted boolean"
 
 
@@ -274,13 +360,13 @@ def _predictor(model: Model | None, known: float | None, text: str):
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None = None, sample: int = SAMPLE, known: float | None = None, families: dict[str, tuple[str, ...]] = FAMILIES) -> DataFrame:
-    """docs with __family, __language, __family_margin, __margin, __known (the share of its trigrams that the sample has) and __accepted.
+    """docs with __family, __language, __family_margin, __margin, __known (the share of its trigrams that are known) and __accepted.
 
     `families` names the languages of each family. The label `lang` is only looked at to fit the machines; the prediction is made from the whole text:
     the family of the greatest score, then the language of that family that wins most of the contests of two; __margin is that of its closest
     contest, 1 where it has none. Rejected (__accepted false) are texts without a letter, null and empty ones among them, whose other new columns are
-    null, and texts of another language: too few of their trigrams occur in two documents of the sample. How few is
-    measured on the sample's own documents (KNOWN, QUANTILE, NOISE), or given as `known`. A text that is too
+    null, and texts of another language: too few of their trigrams are known (SEEN). How few is
+    measured on all labelled documents (KNOWN, QUANTILE, NOISE), or given as `known`. A text that is too
     short for a trigram is accepted. Without labelled rows there is no model: all rows
     are rejected with nulls. Repeated rows each get the same result; ties go by the sum of margins, then to the first family and language in
     the order of `families`. Other columns pass unchanged; those named like the new ones are replaced.

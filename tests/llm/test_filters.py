@@ -261,6 +261,43 @@ def test_language(spark):
     assert langid.identify(spark, frame(spark, []), model).collect() == []
 
 
+def later(spark, n, first):
+    """Which of the ids from 0 to n - 1 aren't among the `first` ones by hash."""
+    order = sorted((r.h, r.id) for r in spark.range(n).selectExpr("id", "xxhash64(id) h").collect())
+    return {i for _, i in order[first:]}
+
+
+@pytest.mark.parametrize("sample", [20, 1000])
+def test_language_learns_from_all_rows(spark, sample):
+    """A dialect that only documents beyond the first ones by hash speak is known too, in one block or in many."""
+    rng = random.Random(12)
+    dialect = "xw zk qv jx wq".split()
+    late = later(spark, 120, 20)
+    docs = [(i, " ".join("".join(rng.choices(dialect, k=3)) for _ in range(20)) if i in late else speak(rng, "de", 20), "de", "s") for i in range(120)]
+    docs += [(1000 + i, speak(rng, g, 20), g, "s") for i, g in enumerate(["en", "fr", "es"] * 40)]
+    model = langid.train(spark, frame(spark, docs), sample=sample)
+    held = [(k, " ".join("".join(rng.choices(dialect, k=3)) for _ in range(20)), None, "s") for k in range(40)]
+    held += [(100 + k, speak(rng, g, 20), g, "s") for k, g in enumerate(["en", "fr", "es"] * 20)]
+    by = {r.doc_id: r for r in langid.identify(spark, frame(spark, held), model).collect()}
+    assert all(by[k]["__language"] == "de" and by[k]["__accepted"] for k in range(40))
+    assert np.mean([by[i]["__language"] == g and by[i]["__accepted"] for i, _, g, _ in held[40:]]) >= 0.95
+
+
+def test_exact_quantile(spark):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 7, 3000):
+        v = np.round(rng.random(n) * 1.5, 3)
+        got = langid.quantile(spark.createDataFrame([(float(x),) for x in v], "v double"), 0.01)
+        assert got == pytest.approx(float(np.quantile(v, 0.01)), abs=1e-12)
+    assert langid.quantile(spark.createDataFrame([], "v double"), 0.01) is None
+
+
+def test_packed_vectors():
+    x, _ = langid.features(pa.array(["some words of a text", "a", "Zoë " * 3000]))
+    for v in x:
+        assert (langid._unpacked(langid._packed(v)) == v.astype(np.float16).astype(np.float32)).all()
+
+
 # --- quality ----------------------------------------------------------------------------------------------------
 
 
