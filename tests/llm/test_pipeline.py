@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tests.llm.test_filters import speak, words
+from tests.llm.test_filters import later, speak, words
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -65,3 +65,14 @@ def test_odd_tables(spark, tmp_path):
     spark.createDataFrame([], odd).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_a_dialect_of_later_documents_stays(spark, tmp_path):
+    """Documents beyond the first 400 of their language by hash are known to language ID like the others."""
+    rng = random.Random(5)
+    late = later(spark, 460, 400)
+    dialect = "xw zk qv jx wq".split()
+    docs = [(i, " ".join("".join(rng.choices(dialect, k=3)) for _ in range(20)) if i in late else speak(rng, "de", 20), "de", "s", 0) for i in range(460)]
+    docs += [(1000 + i, speak(rng, "en", 20), "en", "s", 0) for i in range(60)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path)).collect()}
+    assert late <= kept and len(kept) > 500
