@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import fresh, posix, shared_dir, shared_table, whole
+from ._io import fresh, posix, remove, shared_dir, shared_table
 from ._text import U, Words, buffers, mix, slices
 
 ORDER = 3
@@ -25,11 +25,7 @@ BLOCK = 1 << 22
 #: Bytes of text for each shard of the trie, about; a shard is built in the memory of one task.
 SHARD = 32 << 20
 CODES = 256
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-_POP = _BITS.sum(1).astype(np.uint8)
-_SELECT = np.zeros((256, 8), np.uint8)  # place of the r-th bit that is set
-for _b in range(256):
-    _SELECT[_b, : _POP[_b]] = np.flatnonzero(_BITS[_b])
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # --- Elias-Fano -------------------------------------------------------------------------------------------------
@@ -64,13 +60,16 @@ def elias_fano(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
 
 
 def _in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th bit that is set in each word."""
-    b = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(_POP[b], axis=1, dtype=np.int16)
-    byte = (upto <= r[:, None]).sum(1)
-    rows = np.arange(len(b))
-    rest = r - np.where(byte > 0, upto[rows, np.maximum(byte, 1) - 1], 0)
-    return byte * 8 + _SELECT[b[rows, np.minimum(byte, 7)], np.minimum(rest, 7)]
+    """Place of the r-th bit that is set in each word: halves are counted, and the one that has it is kept."""
+    x, rest, out = words, r.astype(np.int16), np.zeros(len(words), U)
+    for half in (32, 16, 8, 4, 2, 1):
+        low = np.bitwise_count(x & U((1 << half) - 1)).astype(np.int16)
+        up = rest >= low
+        step = up.astype(U) * U(half)
+        rest = rest - low * up
+        out += step
+        x = x >> step
+    return out.astype(np.int64)
 
 
 class EliasFano:
@@ -93,7 +92,18 @@ class EliasFano:
         return ((place - i).astype(U) << U(self.width)) | self._low(i)
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """Index of each value below the universe, -1 where it isn't there: a binary search for the successor within the run of its high bits."""
+        """Index of each value below the universe, -1 where it isn't there. Distinct ones are looked up in their order, so that neighbours touch the same memory."""
+        if not len(value):
+            return np.zeros(0, np.int64)
+        by = np.argsort(value)
+        value = value[by]
+        new = np.append(True, value[1:] != value[:-1])
+        out = np.empty(len(by), np.int64)
+        out[by] = self._find(value[new])[np.cumsum(new) - 1]
+        return out
+
+    def _find(self, value: np.ndarray) -> np.ndarray:
+        """A binary search for the successor within the run of its high bits."""
         bucket = (value >> U(self.width)).astype(np.int64)
         z = np.concatenate([np.maximum(bucket - 1, 0), bucket])  # the zeros that end the run before and the run itself
         word = np.searchsorted(self.zeros, z, "right") - 1
@@ -125,38 +135,68 @@ def codes(words: Words) -> np.ndarray:
     return np.maximum(words.hash >> U(32), U(1))
 
 
-def contexts(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(the word before the last, the last word, the word) at each place."""
+def contexts(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(the last word, the word) at each place."""
     w = codes(words)
-    first = words.first[:-1][np.diff(words.first) > 0]
     v = np.append(U(0), w[:-1]) if len(w) else w
-    v[first] = 0
-    u = np.append(U(0), v[:-1]) if len(w) else w
-    u[first] = 0
-    return u, v, w
+    v[_begins(words)] = 0
+    return v, w
+
+
+def _begins(words: Words) -> np.ndarray:
+    """Places of the first words of texts."""
+    return words.first[:-1][np.diff(words.first) > 0]
+
 
+def shards(level: int, ctx: np.ndarray, log: int) -> np.ndarray:
+    """The shard of each context: ranges of words, but level 3 by hash, as one word may begin many bigrams."""
+    if not log:
+        return np.zeros(len(ctx), np.int64)
+    return ((mix(ctx.astype(U)) >> U(64 - log)) if level == 3 else (ctx.astype(U) >> U(32 - log))).astype(np.int64)
 
-def rank(level: int, ctx: np.ndarray) -> np.ndarray:
-    """The order of contexts, by whose high bits they belong to shards: level 3 by hash, as one word may begin many bigrams."""
-    return mix(ctx) if level == 3 else ctx << U(32)
+
+def _by_shard(part: np.ndarray) -> np.ndarray:
+    """A stable order by shard; numpy sorts 16 bits by radix."""
+    return np.argsort(part.astype(np.uint16) if not len(part) or part.max() < 1 << 16 else part, kind="stable")
 
 
 def counted(level: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (context, word) in the order of rank and word, and how often they occur."""
+    """Distinct (context, word) in their order, and how often they occur."""
     if not len(w):
         return ctx, w, np.zeros(0, np.int64)
-    r = rank(level, ctx)
-    by = np.lexsort((w, r))
-    r, w, ctx = r[by], w[by], ctx[by]
-    at = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1])))
-    n = np.diff(np.append(at, len(w))) if c is None else np.add.reduceat(c[by], at)
-    return ctx[at], w[at], n
+    if int(ctx.max()) >> 32:
+        by = np.lexsort((w, ctx))
+        ctx, w = ctx[by], w[by]
+        at = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (w[1:] != w[:-1])))
+        n = np.diff(np.append(at, len(w))) if c is None else np.add.reduceat(c[by], at)
+        return ctx[at], w[at], n
+    both = ctx << U(32) | w
+    if c is None:
+        both = np.sort(both)
+    else:
+        by = np.argsort(both)
+        both = both[by]
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    n = np.diff(np.append(at, len(both))) if c is None else np.add.reduceat(c[by], at)
+    both = both[at]
+    return both >> U(32), both & U(0xFFFFFFFF), n
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes, second bytes and so on, so that those that are mostly 0 make long runs."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
 
 
 def _pack_counts(ctx: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    at = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+    at = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(ctx) else np.zeros(0, np.int64)
     size = np.diff(np.append(at, len(w)))
-    raw = b"".join([np.array([len(at), len(w)], np.int64).tobytes(), ctx[at].astype(U).tobytes(), size.astype(np.uint32).tobytes(), w.astype(np.uint32).tobytes(), c.astype(np.uint32).tobytes()])
+    step = np.diff(ctx[at].astype(U), prepend=U(0))
+    raw = b"".join([np.array([len(at), len(w)], np.int64).tobytes(), _planes(step), _planes(size.astype(np.uint32)), _planes(w.astype(np.uint32)), _planes(c.astype(np.uint32))])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -164,50 +204,102 @@ def _unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     n, m = np.frombuffer(raw, np.int64, 2)
     at = 16 + 8 * n
-    ctx, size = np.frombuffer(raw, U, n, 16), np.frombuffer(raw, np.uint32, n, at)
-    w, c = np.frombuffer(raw, np.uint32, m, at + 4 * n), np.frombuffer(raw, np.uint32, m, at + 4 * n + 4 * m)
+    ctx, size = np.cumsum(_from_planes(raw, U, n, 16)), _from_planes(raw, np.uint32, n, at)
+    w, c = (_from_planes(raw, np.uint32, m, at + 4 * n + k * m) for k in (0, 4))
     return np.repeat(ctx, size), w.astype(U), c.astype(np.int64)
 
 
-PIECES = "level int, part int, file string, at bigint, size bigint"
+PIECES = "level int, part int, data binary"
+MERGED = "level int, part int, file string, size bigint, once bigint, twice bigint, n bigint, total bigint, fan bigint"
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
+
+
+def _counter(log: int, grams):
+    """The counts of the task's n-grams, cut by shard, about COUNTED words at a time. grams(words): (level, contexts, words) of each level."""
+    schema = _arrow(PIECES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for got in zip(*held):
+                level = got[0][0]
+                ctx, word, n = counted(level, *(np.concatenate([g[k] for g in got]) for k in (1, 2)))
+                part = shards(level, ctx, log)
+                if level == 3 and log:
+                    by = _by_shard(part)
+                    ctx, word, n, part = ctx[by], word[by], n[by], part[by]
+                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+                for s, e in zip(cut, np.append(cut[1:], len(part))):
+                    yield pa.RecordBatch.from_pylist([{"level": level, "part": int(part[s]), "data": _pack_counts(ctx[s:e], word[s:e], n[s:e])}], schema)
+
+        for batch in batches:
+            for piece in slices(batch):
+                words = Words.of(piece.column("text"))
+                if len(words.hash):
+                    held.append(grams(words))
+                    size += len(words.hash)
+                if size >= COUNTED:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
+
+    return run
+
+
+def _singles(words: Words) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    v, w = contexts(words)
+    return [(1, w, np.zeros(len(w), U)), (2, v, w)]
 
 
-def _counter(folder: str, log: int):
-    """Writes the counts of the task's n-grams to a file of the shared folder, cut by shard, and yields where the pieces are."""
+def _merger(folder: str):
+    """Brings the counts of each shard together and writes them to a file of the shared folder. Also: n-grams that occur once and twice, all of them, their sum, the most that one context has."""
+    schema = _arrow(MERGED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
-        path, held, size = f"{folder}/{os.urandom(8).hex()}", [], 0
-        with open(path, "xb") as f:
-
-            def flush() -> pa.RecordBatch:
-                u, v, w = (np.concatenate(x) for x in zip(*held))
-                rows = []
-                inner = v > 0  # the first word of a text has no context but its beginning
-                for level, ctx, word in ((1, w, np.zeros(len(w), U)), (2, v, w), (3, u[inner] << U(32) | v[inner], w[inner])):
-                    ctx, word, n = counted(level, ctx, word)
-                    part = (rank(level, ctx) >> U(64 - log)).astype(np.int64) if log else np.zeros(len(ctx), np.int64)
-                    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-                    for s, e in zip(cut, np.append(cut[1:], len(part)).astype(int)):
-                        data = _pack_counts(ctx[s:e], word[s:e], n[s:e])
-                        rows.append((level, int(part[s]), path, f.tell(), len(data)))
-                        f.write(data)
-                cols = list(zip(*rows))
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["level", "part", "file", "at", "size"])
-
-            for batch in batches:
-                for part in slices(batch):
-                    held.append(contexts(Words.of(part.column("text"))))
-                    size += len(held[-1][0])
-                    if size >= COUNTED:
-                        yield flush()
-                        held, size = [], 0
-            if size:
-                yield flush()
+        got: list = []
+        at = None
+
+        def done() -> pa.RecordBatch:
+            ctx, w, c = counted(at[0], *(np.concatenate(x) for x in zip(*got)))
+            path, data = f"{folder}/{at[0]}.{at[1]}-{os.urandom(6).hex()}", _pack_counts(ctx, w, c)
+            with open(path, "xb") as f:
+                f.write(data)
+            first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
+            row = *at, path, len(data), int((c == 1).sum()), int((c == 2).sum()), len(c), int(c.sum()), int(np.diff(np.append(first, len(c))).max())
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, row))], schema)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = batch.column("level")[i].as_py(), batch.column("part")[i].as_py()
+                if got and key != at:
+                    yield done()
+                    got = []
+                at = key
+                got.append(_unpack_counts(batch.column("data")[i].as_py()))
+        if got:
+            yield done()
 
     return run
 
 
+def _merge(spark: SparkSession, pieces: DataFrame, folder: str, log: int) -> DataFrame:
+    """A row (MERGED) for each shard of the pieces' levels. Every shard is a partition of its own; the shuffle's files go when it is done."""
+    place = F.when(F.col("level") == 2, (1 << log) + F.col("part")).otherwise(F.col("part"))
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return shared_table(spark, pieces.repartitionById(2 << log, place).sortWithinPartitions("level", "part").mapInArrow(_merger(folder), MERGED), "merged")
+    finally:
+        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
+
+
 def merged(level: int, files: list[str], at: list[int], size: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The counts of one shard."""
     got, open_ = [], {}
@@ -222,23 +314,20 @@ def merged(level: int, files: list[str], at: list[int], size: list[int]) -> tupl
     finally:
         for f in open_.values():
             f.close()
-    return counted(level, *(np.concatenate(x) for x in zip(*got)))
+    return got[0] if len(got) == 1 else counted(level, *(np.concatenate(x) for x in zip(*got)))
 
 
-def _each_shard(pieces: DataFrame, level: int, tasks: int, work, schema: str) -> DataFrame:
+def _each_shard(shard: DataFrame, level: int, log: int, work, schema: str) -> DataFrame:
     """Rows of work(part, ctx, word, count) for each shard of a level."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    out = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole(batches, ("part",)):
-            part = t.column("part").to_numpy()
-            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            for s, e in zip(cut, np.append(cut[1:], len(part))):
-                own = t.slice(s, e - s)
-                row = work(int(part[s]), *merged(level, *(own.column(n).to_pylist() for n in ("file", "at", "size"))))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, row))], pa.schema([(x.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[x.split()[1]]) for x in schema.split(", ")]))
+        for batch in batches:
+            for r in batch.to_pylist():
+                row = work(r["part"], *merged(level, [r["file"]], [0], [r["size"]]))
+                yield pa.RecordBatch.from_pylist([dict(zip(out.names, row))], out)
 
-    return pieces.filter(F.col("level") == level).drop("level").repartition(tasks, "part").sortWithinPartitions("part", "file", "at").mapInArrow(run, schema)
+    return shard.filter(F.col("level") == level).select("part", "file", "size").repartitionById(1 << log, F.col("part")).mapInArrow(run, schema)
 
 
 # --- files --------------------------------------------------------------------------------------------------------
@@ -354,19 +443,23 @@ class Trie:
     def number(self, code: np.ndarray) -> np.ndarray:
         """A word's place in the vocabulary, -1 where it isn't there."""
         have = self._vocabulary()[0]
-        at = np.minimum(np.searchsorted(have, code.astype(np.uint32)), len(have) - 1)
-        return np.where(have[at] == code, at, -1)
+        if not len(code):
+            return np.zeros(0, np.int64)
+        by = np.argsort(code)
+        code = code[by]
+        new = np.append(True, code[1:] != code[:-1])
+        one = code[new].astype(np.uint32)
+        at = np.minimum(np.searchsorted(have, one), len(have) - 1)
+        out = np.empty(len(by), np.int64)
+        out[by] = np.where(have[at] == one, at, -1)[np.cumsum(new) - 1]
+        return out
 
     def bigrams(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place in level 2 or -1, rank among v's successors, log10 probability, v's log10 back-off weight) for words by number, -1 for unknown ones."""
         _, one, begins = self._vocabulary()
         node, rel, bo = np.full(len(v), -1, np.int64), np.zeros(len(v), np.int64), np.zeros(len(v))
         p = np.where(w >= 0, one[np.maximum(w, 0)], np.log10(self.unseen))
-        shard = np.where(v >= 0, np.searchsorted(begins, v, "right") - 1, -1)
-        by = np.argsort(shard, kind="stable")
-        cut = np.flatnonzero(np.append(True, shard[by][1:] != shard[by][:-1])) if len(by) else []
-        for s, e in zip(cut, np.append(cut[1:], len(by)).astype(int)):
-            at, part = by[s:e], int(shard[by[s]])
+        for part, at in _groups(np.searchsorted(begins, v, "right") - 1, v >= 0):
             if part not in self.two:
                 continue
             path, base = self.two[part]
@@ -381,19 +474,31 @@ class Trie:
             p[both] = a["p.book"][a["p.code"][found]]
         return node, rel, np.where(node >= 0, p, p + bo), bo
 
-    def trigrams(self, ctx: np.ndarray, parent: np.ndarray, node: np.ndarray, rel: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """log10 probabilities. ctx: the codes of the context; parent: its place in level 2; node, rel, p: of the bigram that ends in the word."""
+    def below(self, parent: np.ndarray, size: np.ndarray, rel: np.ndarray) -> np.ndarray:
+        """Probabilities of the bigrams that end trigrams: those of each parent, `size` of them, by their rank among the successors of its last word."""
+        _, _, begins = self._vocabulary()
+        v, p = np.zeros(len(parent), np.int64), np.zeros(len(rel))
+        order = sorted(self.two.values(), key=lambda x: x[1])
+        for k, at in _groups(np.searchsorted(np.array([base for _, base in order]), parent, "right") - 1):
+            path, base = order[k]
+            v[at] = (self._file(path)[1]["value"].access(parent[at] - base) % U(self.words)).astype(np.int64)
+        v, which = np.unique(v, return_inverse=True)
+        which = np.repeat(which, size)
+        first, part = np.zeros(len(v), np.int64), np.searchsorted(begins, v, "right") - 1
+        for k, at in _groups(part):
+            first[at] = self._file(self.two[k][0])[1]["pointer"].access(v[at] - begins[k]).astype(np.int64)
+        for k, at in _groups(part[which]):
+            a, _ = self._file(self.two[k][0])
+            p[at] = a["p.book"][a["p.code"][first[which[at]] + rel[at]]]
+        return 10.0**p
+
+    def trigrams(self, parent: np.ndarray, node: np.ndarray, rel: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """log10 probabilities. parent: the context's place in level 2; node, rel, p: of the bigram that ends in the word."""
         p = p.copy()
-        may = np.flatnonzero(parent >= 0)
-        shard = (rank(3, ctx[may]) >> U(64 - self.log)).astype(np.int64) if self.log else np.zeros(len(may), np.int64)
-        by = np.argsort(shard, kind="stable")
-        may, shard = may[by], shard[by]
-        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(may) else []
-        for s, e in zip(cut, np.append(cut[1:], len(may)).astype(int)):
-            if int(shard[s]) not in self.three:
+        for part, at in _groups(shards(3, parent, self.log), parent >= 0):
+            if part not in self.three:
                 continue
-            a, ef = self._file(self.three[int(shard[s])])
-            at = may[s:e]
+            a, ef = self._file(self.three[part])
             up = ef["parent"].find(parent[at].astype(U))
             at, up = at[up >= 0], up[up >= 0]
             p[at] += a["bo.book"][a["bo.code"][up]]
@@ -403,22 +508,40 @@ class Trie:
             p[at[found >= 0]] = a["p.book"][a["p.code"][found[found >= 0]]]
         return p
 
+    def walk(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the context of two words in level 2 or -1; place, rank, log10 probability of the bigram) at each word of some texts."""
+        b, begins = self.number(codes(words)), _begins(words)
+        a, parent = np.append(0, b[:-1])[: len(b)], np.full(len(b), -1)
+        a[begins] = 0
+        node, rel, p, _ = self.bigrams(a, b)
+        parent[1:] = node[:-1]
+        parent[begins] = -1  # the first word of a text has no context but its beginning
+        return parent, node, rel, p
+
     def score(self, words: Words) -> np.ndarray:
         """log10 probability of each word of some texts."""
-        u, v, w = contexts(words)
         if self.vocabulary is None:
-            return np.full(len(w), np.log10(self.unseen))
-        a, b = self.number(v), self.number(w)
-        node, rel, p, _ = self.bigrams(a, b)
-        parent = np.where(v > 0, np.append(-1, node[:-1]), -1) if len(w) else node
-        return self.trigrams(u << U(32) | v, parent, node, rel, p)
+            return np.full(len(words.hash), np.log10(self.unseen))
+        return self.trigrams(*self.walk(words))
+
+
+def _groups(part: np.ndarray, ok: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part, and the places that have it, of those that are ok."""
+    some = np.arange(len(part)) if ok is None else np.flatnonzero(ok)
+    part = part[some]
+    by = _by_shard(part)
+    some, part = some[by], part[by]
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    for s, e in zip(cut, np.append(cut[1:], len(part))):
+        yield int(part[s]), some[s:e]
 
 
 def train(spark: SparkSession, docs: DataFrame, shard: int = SHARD) -> Trie:
     """Counts, smooths and writes the trie to the shared folder.
 
-    Each task counts its n-grams by sorting and writes them, cut by shard, to one file of the shared folder; no n-gram is sent through the
-    driver or a Spark shuffle. A shard is merged and built by one task: its share of the vocabulary, of the bigrams or of the
+    Two passes over the texts: the first counts words and bigrams; the second counts trigrams as (place of the context's bigram in level 2,
+    rank of the word among the successors of the middle one), which are small numbers. Each task counts its n-grams by sorting, and the counts are shuffled by shard.
+    A shard is merged, and then built, by one task: its share of the vocabulary, of the bigrams or of the
     trigrams, whose contexts are spread by hash, so that a word that everybody uses makes no large one: a context has as many rows as it has different successors. The driver gets the
     discounts (from the numbers of n-grams that occur once and twice) and the files' names. The
     vocabulary is put together by one task, 5 bytes a word.
@@ -427,18 +550,14 @@ def train(spark: SparkSession, docs: DataFrame, shard: int = SHARD) -> Trie:
     folder = posix(f"{shared_dir(spark)}/trie-{os.urandom(6).hex()}")
     total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log = max(0, int(np.ceil(np.log2(max(1, total / shard)))))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << log)
-    pieces = shared_table(spark, text.mapInArrow(_counter(folder, log), PIECES), "pieces")
+    counts = [f"{folder}/counts{k}" for k in (12, 3)]
+    low = _merge(spark, text.mapInArrow(_counter(log, _singles), PIECES), counts[0], log)
 
-    def once_and_twice(part: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray):
-        first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
-        return part, int((c == 1).sum()), int((c == 2).sum()), len(c), int(c.sum()), int(np.diff(np.append(first, len(c))).max())
-
-    def stats(level: int) -> tuple[float, int, int, int]:
-        r = _each_shard(pieces, level, tasks, once_and_twice, "part int, a bigint, b bigint, n bigint, total bigint, fan bigint").agg(F.sum("a"), F.sum("b"), F.sum("n"), F.sum("total"), F.max("fan")).first()
+    def stats(table: DataFrame, level: int) -> tuple[float, int, int, int]:
+        r = table.filter(F.col("level") == level).agg(*[F.sum(x) for x in ("once", "twice", "n", "total")], F.max("fan")).first()
         return discount(r[0] or 0, r[1] or 0), r[2] or 0, r[3] or 0, r[4] or 0
 
-    d1, words, running, _ = stats(1)
+    d1, words, running, _ = stats(low, 1)
     if not words:
         return Trie(0, None)
     words += 1  # and what is before a text
@@ -452,7 +571,7 @@ def train(spark: SparkSession, docs: DataFrame, shard: int = SHARD) -> Trie:
     def level_one(part: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray):
         return part, save(f"1.{part}", {"code": ctx.astype(np.uint32), "p": (np.maximum(c - d1, 0) / running + unseen)})
 
-    one = [r.path for r in sorted(_each_shard(pieces, 1, tasks, level_one, "part int, path string").collect())]
+    one = [r.path for r in sorted(_each_shard(low, 1, log, level_one, "part int, path string").collect())]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(b.num_rows for b in batches):
@@ -461,7 +580,7 @@ def train(spark: SparkSession, docs: DataFrame, shard: int = SHARD) -> Trie:
             yield pa.RecordBatch.from_arrays([pa.array([save("vocabulary", {"code": np.concatenate([np.zeros(1, np.uint32), *[x["code"] for x in parts]]), **coded("p", p)})])], ["path"])
 
     trie = Trie(log, spark.range(1).coalesce(1).mapInArrow(join, "path string").first().path, unseen, words)
-    d2, _, _, fan = stats(2)
+    d2, _, _, fan = stats(low, 2)
     trie.fan = fan + 1
 
     def level_two(part: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray):
@@ -476,27 +595,31 @@ def train(spark: SparkSession, docs: DataFrame, shard: int = SHARD) -> Trie:
         return part, save(f"2.{part}", arrays | coded("p", q) | coded("bo", bo)), len(a)
 
     base = 0
-    for r in sorted(_each_shard(pieces, 2, tasks, level_two, "part int, path string, n bigint").collect()):
+    for r in sorted(_each_shard(low, 2, log, level_two, "part int, path string, n bigint").collect()):
         trie.two[r.part] = r.path, base
         base += r.n
-    d3, *_ = stats(3)
+    remove(spark, counts[0])
+    trie._open = {}
+
+    def triples(words: Words) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        parent, node, rel, _ = trie.walk(words)
+        inner = (parent >= 0) & (node >= 0)
+        return [(3, parent[inner].astype(U), rel[inner].astype(U))]
+
+    high = _merge(spark, text.mapInArrow(_counter(log, triples), PIECES), counts[1], log)
+    d3, *_ = stats(high, 3)
 
     def level_three(part: int, ctx: np.ndarray, w: np.ndarray, c: np.ndarray):
         first = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
-        u, v = trie.number(ctx[first] >> U(32)), trie.number(ctx[first] & U(0xFFFFFFFF))
-        parents = trie.bigrams(u, v)[0]
-        size = np.diff(np.append(first, len(ctx)))
-        by = np.argsort(parents)  # contexts in the order of level 2
-        at = np.repeat(first[by], size[by]) + np.arange(len(ctx)) - np.repeat(np.cumsum(size[by]) - size[by], size[by])
-        w, c, up = w[at], c[at], np.repeat(np.arange(len(by)), size[by])
-        _, rel, p, _ = trie.bigrams(np.repeat(v[by], size[by]), trie.number(w))
-        start, weight, q = smoothed(up, c, 10.0**p, d3)
-        value = up.astype(U) * U(trie.fan) + rel.astype(U)  # words are in the order of their numbers, so ranks rise within a parent
-        arrays = {f"parent.{k}": x for k, x in elias_fano(parents[by].astype(U), base + 1).items()}
-        arrays |= {f"value.{k}": x for k, x in elias_fano(value, len(by) * trie.fan).items()}
+        parents, size = ctx[first].astype(np.int64), np.diff(np.append(first, len(ctx)))
+        _, weight, q = smoothed(ctx, c, trie.below(parents, size, w.astype(np.int64)), d3)
+        value = np.repeat(np.arange(len(first)), size).astype(U) * U(trie.fan) + w
+        arrays = {f"parent.{k}": x for k, x in elias_fano(parents, base + 1).items()}
+        arrays |= {f"value.{k}": x for k, x in elias_fano(value, len(first) * trie.fan).items()}
         return part, save(f"3.{part}", arrays | coded("p", q) | coded("bo", weight))
 
-    trie.three = {r.part: r.path for r in _each_shard(pieces, 3, tasks, level_three, "part int, path string").collect()}
+    trie.three = {r.part: r.path for r in _each_shard(high, 3, log, level_three, "part int, path string").collect()}
+    remove(spark, counts[1])
     trie._open = {}
     return trie
 

@@ -1,6 +1,7 @@
 """The trie against a brute-force model in dictionaries."""
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -114,3 +115,24 @@ def test_empty_corpus(spark):
     rows = lm.score(frame(spark, ["ab", None]), trie).collect()
     assert rows[0]["__log_prob"] == 0 and rows[0]["__perplexity"] == 1 and rows[1]["__perplexity"] is None
     assert lm.score(frame(spark, []), lm.train(spark, frame(spark, TEXTS))).collect() == []
+
+
+def test_only_the_trie_stays(spark, monkeypatch):
+    """Counts are shuffled in packed pieces, merged by shard and gone when the trie is built; a shard with many pieces gives the same scores."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(60)) for _ in range(60)]
+    docs = frame(spark, texts)
+    monkeypatch.setattr(lm, "COUNTED", 200)
+    trie = lm.train(spark, docs, 3000)
+    assert {name.partition("-")[0].partition(".")[0] for name in os.listdir(os.path.dirname(trie.vocabulary))} == {"vocabulary", "1", "2", "3"}
+    model = Brute(texts)
+    for r in lm.score(docs, trie).collect():
+        assert r["__log_prob"] == pytest.approx(model.log_prob(texts[r.doc_id]), abs=0.02 * 60)
+
+
+def test_counts_of_contexts_beyond_32_bits():
+    rng = np.random.default_rng(6)
+    ctx, w = rng.integers(0, 5, 300).astype(np.uint64) << np.uint64(31), rng.integers(0, 9, 300).astype(np.uint64)
+    want = sorted(Counter(zip(ctx.tolist(), w.tolist())).items())
+    got = lm._unpack_counts(lm._pack_counts(*lm.counted(3, ctx, w)))
+    assert [((a, b), c) for a, b, c in zip(*(x.tolist() for x in got))] == want
