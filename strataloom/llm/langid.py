@@ -107,18 +107,25 @@ def known_share(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """A vector in half precision: a bit for each place, and the values that aren't 0, low bytes first."""
+    """A vector in half precision: a bit for each place, the different values that aren't 0, and at each such place a byte that says which one; low bytes first.
+
+    A text's values are roots of its counts, so they are few; where they are over 256 a number of two bytes takes the byte's place.
+    """
     half = x.astype(np.float16)
     some = half > 0
-    raw = np.packbits(some).tobytes() + half[some].view(np.uint8).reshape(-1, 2).T.tobytes()
+    values, which = np.unique(half[some], return_inverse=True)
+    which = which.astype(np.uint8 if len(values) <= 256 else np.uint16)
+    raw = len(values).to_bytes(2, "little") + np.packbits(some).tobytes() + values.tobytes() + which.view(np.uint8).reshape(-1, which.itemsize).T.tobytes()
     return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     raw = np.frombuffer(pa.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), codec="zstd", asbytes=True), np.uint8)
+    n, at = int.from_bytes(raw[:2].tobytes(), "little"), 2 + DIMENSIONS // 8
+    values, kind = raw[at : at + 2 * n].copy().view(np.float16), np.uint8 if n <= 256 else np.uint16
+    which = np.ascontiguousarray(raw[at + 2 * n :].reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
     out = np.zeros(DIMENSIONS, np.float32)
-    values = np.ascontiguousarray(raw[DIMENSIONS // 8 :].reshape(2, -1).T).view(np.float16).ravel()
-    out[np.unpackbits(raw[: DIMENSIONS // 8]).astype(bool)] = values
+    out[np.unpackbits(raw[2:at]).astype(bool)] = values[which]
     return out
 
 

@@ -298,6 +298,19 @@ def test_packed_vectors():
         assert (langid._unpacked(langid._packed(v)) == v.astype(np.float16).astype(np.float32)).all()
 
 
+def test_packed_vectors_are_small():
+    """Few different values, as of a text's counts, take less than a byte for each place that isn't 0, besides the bits; many are kept too."""
+    rng = np.random.default_rng(7)
+    x = np.zeros(langid.DIMENSIONS, np.float32)
+    x[rng.permutation(langid.DIMENSIONS)[:2000]] = np.sqrt(rng.geometric(0.4, 2000)) / 70
+    assert len(langid._packed(x)) < langid.DIMENSIONS // 8 + 1000
+    for n in (0, 255, 256, 257, 4000):
+        many = np.zeros(langid.DIMENSIONS, np.float32)
+        many[:n] = np.linspace(0.001, 1, n)
+        for v in (x, many):
+            assert (langid._unpacked(langid._packed(v)) == v.astype(np.float16).astype(np.float32)).all()
+
+
 # --- quality ----------------------------------------------------------------------------------------------------
 
 
