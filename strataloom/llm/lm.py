@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import fresh, posix, remove, shared_dir, shared_table
+from ._io import fresh, posix, remove, shared_dir, tidy_table
 from ._text import U, Words, buffers, mix, slices
 
 ORDER = 3
@@ -25,7 +25,6 @@ BLOCK = 1 << 22
 #: Bytes of text for each shard of the trie, about; a shard is built in the memory of one task.
 SHARD = 32 << 20
 CODES = 256
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # --- Elias-Fano -------------------------------------------------------------------------------------------------
@@ -292,12 +291,7 @@ def _merger(folder: str):
 def _merge(spark: SparkSession, pieces: DataFrame, folder: str, log: int) -> DataFrame:
     """A row (MERGED) for each shard of the pieces' levels. Every shard is a partition of its own; the shuffle's files go when it is done."""
     place = F.when(F.col("level") == 2, (1 << log) + F.col("part")).otherwise(F.col("part"))
-    old = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        return shared_table(spark, pieces.repartitionById(2 << log, place).sortWithinPartitions("level", "part").mapInArrow(_merger(folder), MERGED), "merged")
-    finally:
-        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
+    return tidy_table(spark, pieces.repartitionById(2 << log, place).sortWithinPartitions("level", "part").mapInArrow(_merger(folder), MERGED), "merged")
 
 
 def merged(level: int, files: list[str], at: list[int], size: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
