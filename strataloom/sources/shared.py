@@ -25,3 +25,11 @@ def materialise(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df written as the table `name`, dealt and sorted by a column: joins by it don't shuffle it. The caller drops the table."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.bucketBy(n, column).sortBy(column).format("parquet").option("path", shared_dir(spark)).saveAsTable(name)
+    return spark.table(name)

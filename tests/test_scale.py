@@ -45,3 +45,25 @@ def test_links_are_counted_where_they_are(spark):
     df = change.audit_fan_out(graph.links(raw(spark, *SOME)), 0)
     assert exchanges(df) == 1
     assert rows(df) == [("A", 1), ("B", 1), ("D", 1), ("E", 1)]
+
+
+@pytest.mark.parametrize(("few", "rounds"), [(100, 9), (0, 9), (100, 0), (1, 1)])
+@pytest.mark.parametrize(("seeds", "depth"), [(["A"], None), (["A", "E", "A"], 2), (["none"], None)])
+def test_reachable_by_filter_and_by_buckets(large, monkeypatch, few, rounds, seeds, depth):
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "ROUNDS", rounds)
+    monkeypatch.setattr(graph, "MANY", min(few, 1))
+    found = graph.reachable(raw(large, *SOME, ("B", "E", "Reads", "1")), large.createDataFrame([(s,) for s in seeds], "node string"), max_depth=depth)
+    want = dict.fromkeys(seeds, 0)
+    for k in range(1, 1 + (4 if depth is None else depth)):
+        want |= {d: k for s, d, _, _ in [*SOME, ("B", "E", "Reads", "1")] if want.get(s) == k - 1 and d not in want}
+    assert rows(found) == sorted(want.items(), key=repr)
+    assert not [t.name for t in large.catalog.listTables() if t.name.startswith("step_")]
+
+
+def test_stored_edges_are_not_shuffled_again(large):
+    step = graph.bucketed(raw(large, *SOME).selectExpr("src AS node", "dst AS next"), "node", "step_test")
+    df = step.join(large.createDataFrame([("A",)], "node string").hint("shuffle_hash"), "node", "left_semi")
+    assert exchanges(df) == 1  # the frontier
+    assert rows(df) == [("A", "B"), ("A", "B")]
+    large.sql("DROP TABLE step_test")
