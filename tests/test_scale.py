@@ -47,6 +47,19 @@ def test_links_are_counted_where_they_are(spark):
     assert rows(df) == [("A", 1), ("B", 1), ("D", 1), ("E", 1)]
 
 
+@pytest.mark.parametrize("scope", [[], ["1"], ["2"], ["3", None], ["1", "2", "3"]])
+def test_refresh_deduplicated(large, scope):
+    """Against a plain loop: old evidence, none left, new, other keys, keys with nulls."""
+    old = [("A", "B", "Calls", "1"), ("B", "C", "Calls", "1"), ("X", "Y", "Calls", "2"), ("Q", None, "Calls", "3"), ("Z", "Z", "Calls", None)]
+    new = [("A", "B", "Calls", "2"), ("B", "C", "Calls", "3"), ("N", "M", "Calls", "3"), ("Q", None, "Reads", "3"), ("Z", "Z", "Calls", "9")]
+    previous = graph.edge_dedup(raw(large, *old))
+    out = change.refresh_deduplicated(previous, raw(large, *new), large.createDataFrame([(s,) for s in scope], "doc string"))
+    assert plan(out).count("LeftAnti") == 0  # which joined all edges by document, then by key
+    hit = {e[:3] for e in old + new if e[3] is not None and e[3] in scope and None not in e[:3]}
+    want = [e for e in old if e[:3] not in hit] + [e for e in new if e[:3] in hit]
+    assert rows(out.select("src", "dst", "kind", "doc")) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize(("few", "rounds"), [(100, 9), (0, 9), (100, 0), (1, 1)])
 @pytest.mark.parametrize(("seeds", "depth"), [(["A"], None), (["A", "E", "A"], 2), (["none"], None)])
 def test_reachable_by_filter_and_by_buckets(large, monkeypatch, few, rounds, seeds, depth):
