@@ -47,6 +47,15 @@ def test_links_are_counted_where_they_are(spark):
     assert rows(df) == [("A", 1), ("B", 1), ("D", 1), ("E", 1)]
 
 
+def test_diff_is_made_once_and_sides_stay_dealt(large):
+    e = graph.edge_dedup(raw(large, *SOME), graph.KEY)
+    d = change.diff_edges(e.filter("src <> 'A'"), e.filter("src <> 'B'"))
+    assert exchanges(d) == 2  # one a side
+    s = change.diff_scoped(d, large.createDataFrame([("B",), ("B",), ("X",), (None,)], "symbol_id string"))
+    assert plan(s).count("FullOuter") == 1
+    assert rows(s) == [("A", "B", "Calls", "added"), ("B", "C", "Calls", "removed")]
+
+
 @pytest.mark.parametrize("scope", [[], ["1"], ["2"], ["3", None], ["1", "2", "3"]])
 def test_refresh_deduplicated(large, scope):
     """Against a plain loop: old evidence, none left, new, other keys, keys with nulls."""
