@@ -69,6 +69,12 @@ def test_refresh_deduplicated(large, scope):
     assert rows(out.select("src", "dst", "kind", "doc")) == sorted(want, key=repr)
 
 
+def test_retire_leaves_facts_where_they_are(spark):
+    df = change.retire(graph.edge_dedup(raw(spark, *SOME)), raw(spark, *SOME).filter("doc = '2' OR doc IS NULL").select("doc").distinct(), "doc")
+    assert exchanges(df) == 1
+    assert rows(df.select("src", "doc")) == [("A", "1"), ("C", None), ("D", "3"), ("E", "3")]
+
+
 @pytest.mark.parametrize(("few", "rounds"), [(100, 9), (0, 9), (100, 0), (1, 1)])
 @pytest.mark.parametrize(("seeds", "depth"), [(["A"], None), (["A", "E", "A"], 2), (["none"], None)])
 def test_reachable_by_filter_and_by_buckets(large, monkeypatch, few, rounds, seeds, depth):
