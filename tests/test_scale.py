@@ -47,6 +47,14 @@ def test_links_are_counted_where_they_are(spark):
     assert rows(df) == [("A", 1), ("B", 1), ("D", 1), ("E", 1)]
 
 
+def test_orphans_stay_dealt_by_src(large):
+    nodes = large.createDataFrame([("A",), ("B",), ("B",), (None,)], "symbol_id string")
+    kept, dropped = graph.split_orphans(graph.links(raw(large, *SOME)), nodes)
+    assert exchanges(dropped) <= 4  # the edges by src and by dst, the nodes for either
+    assert rows(kept) == [("A", "B", "Calls")]
+    assert rows(dropped.select("src", "dst", "dropped")) == [("B", "C", "other"), ("C", "D", "other"), ("D", "A", "other"), ("E", "E", "other")]
+
+
 def test_diff_is_made_once_and_sides_stay_dealt(large):
     e = graph.edge_dedup(raw(large, *SOME), graph.KEY)
     d = change.diff_edges(e.filter("src <> 'A'"), e.filter("src <> 'B'"))
