@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import by_kind, reachable
+from ..sources.shared import materialise
+from .graph import among, by_kind, reachable
 
 
 def compose_provenance(parts: str | Column) -> Column:
@@ -22,50 +23,56 @@ def _tier(df: DataFrame, node: str, name: str) -> DataFrame:
 
 
 def tier_contracts(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return _tier(by_kind(edges, ["Inherits", "Implements", "Overrides"]).join(ids, F.col("src") == F.col("id"), "left_semi"), "dst", "contracts")
+    return _tier(among(by_kind(edges, ["Inherits", "Implements", "Overrides"]), "src", ids), "dst", "contracts")
 
 
 def tier_direct_callees(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """What the anchor calls or constructs, and the implementations that the called members may dispatch to."""
-    direct = by_kind(edges, ["Calls", "Constructs"]).join(ids, F.col("src") == F.col("id"), "left_semi").select("dst", "provenance")
-    more = edges.filter("kind = 'MayDispatchTo'").join(direct.select(F.col("dst").alias("c")).distinct(), F.col("src") == F.col("c"), "left_semi").select("dst", F.lit("global_implementation_relation").alias("provenance"))
+    direct = materialise(among(by_kind(edges, ["Calls", "Constructs"]), "src", ids).select("dst", "provenance"))
+    more = among(edges.filter("kind = 'MayDispatchTo'"), "src", direct.select("dst")).select("dst", F.lit("global_implementation_relation").alias("provenance"))
     return _tier(direct.unionByName(more.join(direct.select("dst"), "dst", "left_anti")), "dst", "directCallees")
 
 
 def tier_direct_callers(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Who calls the anchor, who calls what dispatches to it (its provenance composed), and its entry points."""
-    into = edges.join(ids, F.col("dst") == F.col("id"), "left_semi")
+    into = materialise(among(by_kind(edges, ["Calls", "MayDispatchTo", "RoutesTo", "Handles"]), "dst", ids).select("src", "kind", "provenance"))
     calls = by_kind(into, ["Calls"]).select("src", "provenance")
     dispatch = into.filter("kind = 'MayDispatchTo'").select(F.col("src").alias("m"), F.col("provenance").alias("p0"))
-    via = edges.filter("kind = 'Calls'").join(dispatch, F.col("dst") == F.col("m")).select("src", compose_provenance(F.array("p0", "provenance")).alias("provenance"))
+    near = among(edges.filter("kind = 'Calls'"), "dst", dispatch.select("m"))
+    via = near.join(dispatch, F.col("dst") == F.col("m")).select("src", compose_provenance(F.array("p0", "provenance")).alias("provenance"))
     entry = by_kind(into, ["RoutesTo", "Handles"]).select("src", "provenance")
     rest = via.join(calls.select("src"), "src", "left_anti").unionByName(entry.join(calls.select("src"), "src", "left_anti"))
     return _tier(calls.unionByName(rest), "src", "directCallers")
 
 
 def tier_registered_impls(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    into = by_kind(edges, ["MayDispatchTo", "Registers"]).join(ids, F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("n"), "provenance")
-    out = by_kind(edges, ["MayDispatchTo", "Handles", "Registers"]).join(ids, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("n"), "provenance")
+    into = among(by_kind(edges, ["MayDispatchTo", "Registers"]), "dst", ids).select(F.col("src").alias("n"), "provenance")
+    out = among(by_kind(edges, ["MayDispatchTo", "Handles", "Registers"]), "src", ids).select(F.col("dst").alias("n"), "provenance")
     return _tier(into.unionByName(out), "n", "registeredImplementations")
 
 
-def tier_relevant_tests(edges: DataFrame, ids: DataFrame, max_hops: int = 3) -> DataFrame:
-    """Tests of the anchor and of its callers within max_hops."""
-    near = reachable(by_kind(edges, ["Calls"]), ids.select(F.col("id").alias("node")), downstream=False, max_depth=max_hops).select("node")
-    return _tier(edges.filter("kind = 'TestedBy'").join(near, F.col("src") == F.col("node"), "left_semi"), "dst", "relevantTests")
+def callers(edges: DataFrame, ids: DataFrame, max_hops: int = 3) -> DataFrame:
+    """(node, depth): the ids and who calls them within max_hops."""
+    return reachable(by_kind(edges, ["Calls"]), ids.select(F.col("id").alias("node")), downstream=False, max_depth=max_hops)
 
 
-def tier_second_degree(edges: DataFrame, ids: DataFrame, max_hops: int = 3) -> DataFrame:
+def tier_relevant_tests(edges: DataFrame, ids: DataFrame, max_hops: int = 3, near: DataFrame | None = None) -> DataFrame:
+    """Tests of the anchor and of its callers within max_hops; near: these, where they are known."""
+    near = callers(edges, ids, max_hops) if near is None else near
+    return _tier(among(edges.filter("kind = 'TestedBy'"), "src", near.select("node")), "dst", "relevantTests")
+
+
+def tier_second_degree(edges: DataFrame, ids: DataFrame, max_hops: int = 3, near: DataFrame | None = None) -> DataFrame:
     """Callers at two steps to max_hops; none where max_hops is 1."""
-    far = reachable(by_kind(edges, ["Calls"]), ids.select(F.col("id").alias("node")), downstream=False, max_depth=max_hops).filter("depth > 1")
-    return _tier(far.select("node", F.lit("possible").alias("provenance")), "node", "secondDegree")
+    near = callers(edges, ids, max_hops) if near is None else near
+    return _tier(near.filter("depth > 1").select("node", F.lit("possible").alias("provenance")), "node", "secondDegree")
 
 
 def tier_surrounding(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Members of the anchor and of the type that declares it, without itself."""
     own = by_kind(edges, ["Declares", "Contains"])
-    parents = own.join(ids, F.col("dst") == F.col("id"), "left_semi").select(F.col("src").alias("p")).union(ids.select("id")).distinct()
-    return _tier(own.join(parents, F.col("src") == F.col("p"), "left_semi").join(ids, F.col("dst") == F.col("id"), "left_anti"), "dst", "surroundingSource")
+    parents = materialise(among(own, "dst", ids).select(F.col("src").alias("p")).union(ids.select("id")).distinct())
+    return _tier(among(own, "src", parents).join(F.broadcast(ids), F.col("dst") == F.col("id"), "left_anti"), "dst", "surroundingSource")
 
 
 TIERS = {
@@ -89,16 +96,20 @@ def tier_order(type_anchor: bool = False) -> list[str]:
 
 
 def all_tiers(edges: DataFrame, symbols: DataFrame, anchor: str) -> DataFrame:
-    """(tier, tier_rank, item_rank, symbol_id, fqn, provenance): a symbol counts for the first tier that has it; in a tier by name."""
-    ids = edges.sparkSession.createDataFrame([(anchor,)], "id string")
+    """(tier, tier_rank, item_rank, symbol_id, fqn, provenance): a symbol counts for the first tier that has it; in a tier by name.
+
+    Callers are searched once for the tiers that need them. The items are written: budgets read them several times.
+    """
+    ids = edges.sparkSession.range(1).select(F.lit(anchor).alias("id"))
     order = tier_order(anchor.startswith("T:"))
-    out = None
+    near, out = callers(edges, ids), None
     for rank, name in enumerate(order):
-        t = TIERS[name](edges, ids).withColumn("tier_rank", F.lit(rank))
+        t = (TIERS[name](edges, ids, near=near) if name in ("relevantTests", "secondDegree") else TIERS[name](edges, ids)).withColumn("tier_rank", F.lit(rank))
         out = t if out is None else out.unionByName(t)
-    first = out.groupBy("symbol_id").agg(F.min(F.struct("tier_rank", "tier", "provenance")).alias("b")).select("symbol_id", "b.*")
+    first = materialise(out.groupBy("symbol_id").agg(F.min(F.struct("tier_rank", "tier", "provenance")).alias("b")).select("symbol_id", "b.*"))
     w = Window.partitionBy("tier_rank").orderBy("symbol_id")
-    return first.join(symbols.select("symbol_id", "fqn"), "symbol_id", "left").withColumn("item_rank", F.row_number().over(w))
+    names = symbols.select("symbol_id", "fqn").join(first.select("symbol_id"), "symbol_id", "left_semi")
+    return materialise(first.join(names, "symbol_id", "left").withColumn("item_rank", F.row_number().over(w)))
 
 
 def budget_prefix(items: DataFrame, budget: int, used: int = 0) -> DataFrame:
@@ -177,7 +188,7 @@ def budget_enforce(capsule: dict, budget: int, order: list[str], item_chars: int
 
 def uncertainties(edges: DataFrame, incompleteness: DataFrame, ids: DataFrame) -> DataFrame:
     """(rule, edges or occurrences): what makes statements about the ids doubtful, one row for each rule that applies."""
-    out = edges.join(ids, F.col("src") == F.col("id"), "left_semi")
+    out = among(edges, "src", ids)
     rules = {"reflection": F.col("kind").startswith("Reflection"), "dispatch": F.col("kind") == "MayDispatchTo", "missing_receiver": (F.col("kind") == "Calls") & F.col("type_args").isNull(), "convention": F.col("provenance") == "convention", "possible": F.col("provenance") == "possible", "cross_generated": F.col("cross_generated")}
     rows = out.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
     inc = incompleteness.agg(F.sum("occurrences").alias("n")).filter("n > 0").select(F.lit("incompleteness").alias("rule"), "n")
@@ -186,7 +197,7 @@ def uncertainties(edges: DataFrame, incompleteness: DataFrame, ids: DataFrame) -
 
 def suggested_verification(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(command): a test run for each test of the ids; the whole suite where their tests lie in three assemblies or more."""
-    t = edges.filter("kind = 'TestedBy'").join(ids, F.col("src") == F.col("id"), "left_semi").select("dst").distinct().withColumn("a", F.substring_index("dst", "|", -1))
+    t = among(edges.filter("kind = 'TestedBy'"), "src", ids).select("dst").distinct().withColumn("a", F.substring_index("dst", "|", -1))
     many = t.agg(F.count_distinct("a").alias("n"))
     one = t.crossJoin(F.broadcast(many)).select(F.when(F.col("n") >= 3, F.lit("test --all")).otherwise(F.concat(F.lit("test "), "dst")).alias("command"))
     return one.distinct()
@@ -200,8 +211,8 @@ def anchor_region_lost(incompleteness: DataFrame, documents: DataFrame, reasons:
 
 def change_sites(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, rank): where a change of the ids is felt: 0 their own sites, 1 those of callers, 2 those of implementers and overriders."""
-    own = edges.join(ids, F.col("src") == F.col("id"), "left_semi").select("doc", F.lit(0).alias("rank"))
-    into = edges.join(ids, F.col("dst") == F.col("id"), "left_semi")
+    own = among(edges, "src", ids).select("doc", F.lit(0).alias("rank"))
+    into = among(edges, "dst", ids)
     near = into.filter(F.col("kind").isin("Calls", "Constructs", "Reads")).select("doc", F.lit(1).alias("rank"))
     far = into.filter(F.col("kind").isin("Implements", "Overrides", "Registers", "Inherits")).select("doc", F.lit(2).alias("rank"))
     return own.unionByName(near).unionByName(far).filter("doc IS NOT NULL").groupBy("doc").agg(F.min("rank").alias("rank"))

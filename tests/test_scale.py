@@ -103,3 +103,20 @@ def test_stored_edges_are_not_shuffled_again(large):
     assert exchanges(df) == 1  # the frontier
     assert rows(df) == [("A", "B"), ("A", "B")]
     large.sql("DROP TABLE step_test")
+
+
+@pytest.mark.parametrize("many", [1000, 0])
+def test_few_keys_become_a_filter(large, monkeypatch, many):
+    monkeypatch.setattr(graph, "MANY", many)
+    e, ids = graph.edge_dedup(raw(large, *SOME)), large.createDataFrame([("B",), (None,)], "id string")
+    df = capsule.change_sites(e, ids)
+    assert ("Join" in plan(df)) == (many == 0)
+    assert rows(df) == [("1", 1), ("2", 0)]
+    assert rows(graph.among(e, "src", ids.filter("id = 'none'"))) == []
+
+
+def test_items_of_tiers_are_written_once(large):
+    symbols = large.createDataFrame([(s, f"n.{s}") for s in "ABCD"], "symbol_id string, fqn string")
+    items = capsule.all_tiers(graph.edge_dedup(raw(large, *SOME)), symbols, "B")
+    assert "Window" not in plan(items) and "Join" not in plan(items)
+    assert rows(items.select("tier", "symbol_id", "fqn", "item_rank")) == [("directCallees", "C", "n.C", 1), ("directCallers", "A", "n.A", 1), ("secondDegree", "D", "n.D", 1)]
